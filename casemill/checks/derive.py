@@ -6,10 +6,13 @@ studies and distinct texts grows with `part`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from casemill import constants as K
 from casemill.checks.sql import q
-from casemill.session import table
+from casemill.session import scratch_dir, table
 
 
 def _text(*lines: tuple[str, str] | str) -> str:
@@ -159,8 +162,26 @@ FROM (
 FORMS_SQL = f"SELECT row_seq, study, f, extra AS form_text FROM ({REPORTS_SQL}) r"
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def once(
+    spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]
+) -> DataFrame:
+    """A derived table that several queries read, written once per application and source."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _WRITTEN:
+        path = scratch_dir(spark, name)
+        build().write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
 def reports(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.sql(REPORTS_SQL, part=table(spark, folder, "part"))
+    def build() -> DataFrame:
+        return spark.sql(REPORTS_SQL, part=table(spark, folder, "part"))
+
+    return once(spark, folder, "reports", build)
 
 
 def reports_cte() -> str:
@@ -181,8 +202,6 @@ MANUAL_TEXTS = [
 
 
 def manual_sheet(spark: SparkSession) -> DataFrame:
-    from casemill import constants as K
-
     return spark.createDataFrame(
         MANUAL_TEXTS, f"`{K.MANUAL_SHEET_TEXT}` string, `{K.MANUAL_SHEET_LABEL}` string"
     )

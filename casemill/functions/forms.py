@@ -82,15 +82,17 @@ def intervention_raw(c: Column) -> Column:
 
     A second line that is already the next field gives null.
     """
-    start = F.instr(c, K.FORM_START)
-    body = lines(F.substring(c, start, F.length(c)))
-    first = T.strip(F.replace(F.get(body, 0), F.lit(K.FORM_START), F.lit("")))
-    second = F.get(body, 1)
-    next_field = F.lit(False)
-    for mark in K.NEXT_FIELD_MARKS:
-        next_field = next_field | F.contains(second, F.lit(mark))
-    text = F.when(first != "", first).when(~next_field, second)
-    return F.when(start > 0, T.clean_hard(text))
+    body = lines(F.substring(c, F.instr(c, K.FORM_START), F.length(c)))
+
+    def pick(ls: Column) -> Column:
+        first = T.strip(F.replace(F.get(ls, 0), F.lit(K.FORM_START), F.lit("")))
+        second = F.get(ls, 1)
+        next_field = F.lit(False)
+        for mark in K.NEXT_FIELD_MARKS:
+            next_field = next_field | F.contains(second, F.lit(mark))
+        return F.when(first != "", first).when(~next_field, second)
+
+    return F.when(F.contains(c, F.lit(K.FORM_START)), T.clean_hard(T.bind(body, pick)))
 
 
 def tumor_size_location(c: Column) -> tuple[Column, Column]:

@@ -29,7 +29,10 @@ def token_distance(a: Column, b: Column) -> Column:
 
     Null when either side has no words.
     """
-    return _token_distance(T.clean_tokens(T.clean_hard(a)), T.clean_tokens(T.clean_hard(b)))
+    words = F.struct(
+        T.clean_tokens(T.clean_hard(a)).alias("x"), T.clean_tokens(T.clean_hard(b)).alias("y")
+    )
+    return T.bind(words, lambda w: _token_distance(w["x"], w["y"]))
 
 
 def _mean_of_best(words: Column, others: Column) -> Column:
@@ -87,14 +90,18 @@ def ratio(a: Column, b: Column, cutoff: int = 0) -> Column:
     Below `cutoff` the value may be 0: the edit distance, which never exceeds the
     insert/delete distance, rules such pairs out before the quadratic part runs.
     """
-    total = F.length(a) + F.length(b)
-    exact = F.bround(200 * lcs_length(a, b) / total, 0).cast("int")
-    if cutoff <= 0:
-        return F.when(a == b, 100).otherwise(exact)
-    # score >= cutoff means (total - d) / total >= (cutoff - 0.5) / 100
-    limit = total * (1 - (cutoff - 0.5) / 100)
-    near = (F.abs(F.length(a) - F.length(b)) <= limit) & (F.levenshtein(a, b) <= limit)
-    return F.when(a == b, 100).when(near, exact).otherwise(0)
+    def score(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        total = F.length(x) + F.length(y)
+        exact = F.bround(200 * lcs_length(x, y) / total, 0).cast("int")
+        if cutoff <= 0:
+            return F.when(x == y, 100).otherwise(exact)
+        # score >= cutoff means (total - d) / total >= (cutoff - 0.5) / 100
+        limit = total * (1 - (cutoff - 0.5) / 100)
+        near = (F.abs(F.length(x) - F.length(y)) <= limit) & (F.levenshtein(x, y) <= limit)
+        return F.when(x == y, 100).when(near, exact).otherwise(0)
+
+    return T.bind(F.struct(a.alias("x"), b.alias("y")), score)
 
 
 def best_choice(
@@ -104,7 +111,6 @@ def best_choice(
     if len(choices) > MAX_CHOICES:
         raise ValueError(f"choices must be a fixed vocabulary of at most {MAX_CHOICES} entries")
     if scorer is None:
-        words = T.clean_tokens(T.clean_hard(processed(key)))
         options = F.array(
             *[
                 F.struct(
@@ -115,17 +121,22 @@ def best_choice(
                 for i, c in enumerate(choices)
             ]
         )
-        scored = F.transform(
-            options,
-            lambda o: F.struct(
-                token_score_words(words, o["words"]).alias("score"),
-                o["neg"].alias("neg"),
-                o["match"].alias("match"),
+        return T.bind(
+            T.clean_tokens(T.clean_hard(processed(key))),
+            lambda words: F.array_max(
+                F.transform(
+                    options,
+                    lambda o: F.struct(
+                        token_score_words(words, o["words"]).alias("score"),
+                        o["neg"].alias("neg"),
+                        o["match"].alias("match"),
+                    ),
+                )
             ),
         )
-    else:
-        done = processed(key)
-        scored = F.array(
+
+    def scored(done: Column) -> Column:
+        return F.array(
             *[
                 F.struct(
                     scorer(done, processed(F.lit(c))).alias("score"),
@@ -135,7 +146,8 @@ def best_choice(
                 for i, c in enumerate(choices)
             ]
         )
-    return F.array_max(scored)
+
+    return F.array_max(T.bind(processed(key), scored))
 
 
 def _clean_words(choice: str) -> list[str]:
@@ -184,22 +196,24 @@ def fuzzy_labels(
     start = F.trim(F.regexp_replace(start, K.SPACE + "+", " "))
 
     def try_option(state: Column, option: Column) -> Column:
-        words = T.clean_tokens(state["text"])
-
-        def grams_of(m: Column) -> Column:
-            return F.transform(
-                F.sequence(F.lit(1), F.size(words) - m + 1),
-                lambda i: F.struct(
-                    m.alias("words"),
-                    (-i).alias("neg"),
-                    F.array_join(F.slice(words, i, m), " ").alias("gram"),
-                ),
+        def grams_of(words: Column) -> Column:
+            fitting = F.filter(option["sizes"], lambda m: m <= F.size(words))
+            return F.flatten(
+                F.transform(
+                    fitting,
+                    lambda m: F.transform(
+                        F.sequence(F.lit(1), F.size(words) - m + 1),
+                        lambda i: F.struct(
+                            m.alias("words"),
+                            (-i).alias("neg"),
+                            F.array_join(F.slice(words, i, m), " ").alias("gram"),
+                        ),
+                    ),
+                )
             )
 
-        fitting = F.filter(option["sizes"], lambda m: m <= F.size(words))
-        grams = F.flatten(F.transform(fitting, grams_of))
         scored = F.transform(
-            grams,
+            T.bind(T.clean_tokens(state["text"]), grams_of),
             lambda g: F.struct(
                 score(processed(g["gram"]), option["spelling"]).alias("score"),
                 g["words"].alias("words"),
@@ -209,7 +223,6 @@ def fuzzy_labels(
         )
         best = F.array_max(F.filter(scored, lambda g: g["score"] >= cutoff))
 
-        # `best` is used several times: bind it once by a one-element transform.
         def settle(b: Column) -> Column:
             rest = F.replace(state["text"], b["gram"], F.lit(""))
             rest = F.trim(F.regexp_replace(rest, " +", " "))
@@ -226,9 +239,8 @@ def fuzzy_labels(
                 ),
             ).otherwise(state)
 
-        tried = F.get(F.transform(F.array(best), settle), 0)
         skip = (state["taken"] == option["number"]) | (state["text"] == "")
-        return F.when(skip, state).otherwise(tried)
+        return F.when(skip, state).otherwise(T.bind(best, settle))
 
     def one_pass(state: Column, _: Column) -> Column:
         fresh = F.struct(
@@ -240,12 +252,15 @@ def fuzzy_labels(
         ran = F.aggregate(options, fresh, try_option)
         return F.when(state["matched"] & (state["text"] != ""), ran).otherwise(state)
 
-    # Every pass that matches removes text, so the word count bounds the number of passes.
-    begin = F.struct(
-        start.alias("text"),
-        F.array().cast("array<string>").alias("labels"),
-        F.lit(-1).alias("taken"),
-        F.lit(True).alias("matched"),
-    )
-    passes = F.sequence(F.lit(1), F.greatest(F.size(T.clean_tokens(start)), F.lit(1)))
-    return F.aggregate(passes, begin, one_pass, lambda s: F.array_sort(s["labels"]))
+    def run(text: Column) -> Column:
+        begin = F.struct(
+            text.alias("text"),
+            F.array().cast("array<string>").alias("labels"),
+            F.lit(-1).alias("taken"),
+            F.lit(True).alias("matched"),
+        )
+        # every pass that matches removes text, so the word count bounds the passes
+        passes = F.sequence(F.lit(1), F.greatest(F.size(T.clean_tokens(text)), F.lit(1)))
+        return F.aggregate(passes, begin, one_pass, lambda s: F.array_sort(s["labels"]))
+
+    return T.bind(start, run)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
@@ -35,6 +35,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(K.WHITESPACE))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -42,9 +47,7 @@ def blank_to_null(c: Column) -> Column:
 def strip_accents(c: Column) -> Column:
     """Drop accents, then every character that is still not ASCII."""
     source, target = _accent_table()
-    folded = F.regexp_replace(F.translate(c, source, target), r"[^\x00-\x7F]", "")
-    # Byte length equals character length only for plain ASCII: skip the per-character work.
-    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(folded)
+    return F.regexp_replace(F.translate(c, source, target), r"[^\x00-\x7F]", "")
 
 
 def clean_hard(c: Column) -> Column:

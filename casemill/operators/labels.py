@@ -51,8 +51,7 @@ def histology_class(clean: Column, no_match: str | None = None) -> Column:
         hit = b["score"] >= K.HISTOLOGY_CUTOFF
         return F.when(hit, F.element_at(classes, b["match"])).otherwise(F.lit(no_match))
 
-    found = F.get(F.transform(F.array(best), name), 0)
-    return F.when(clean.isNotNull(), found)
+    return F.when(clean.isNotNull(), T.bind(best, name))
 
 
 def with_histology(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from casemill import constants as K
 from casemill.operators import filters, forms, rollup
+from casemill.session import written
 from casemill.sources import writers
 
 
@@ -31,11 +32,13 @@ def process_reports(
 ) -> Processed:
     """Roll rows up to studies, parse each distinct form of a study once, merge and validate.
 
-    Conflicting forms are reported as rows; `strict` raises on the first one.
+    Conflicting forms are reported as rows; `strict` raises on the first one. The form texts and
+    the parsed forms, which several results read, are written to the scratch folder: parsing runs
+    once, a lost executor does not repeat it, and the later plans stay small.
     """
     rows = filters.without_studies(rows, denied, study)
-    found = rollup.study_forms(rows, form_columns, study, seq)
-    parsed = forms.both_layouts(found, "value", manual)
+    found = written(rollup.study_forms(rows, form_columns, study, seq), "form-texts")
+    parsed = written(forms.both_layouts(found, "value", manual), "parsed-forms")
     leaves = rollup.form_leaves(parsed, "form", study)
     if strict:
         rollup.raise_on_conflict(leaves, study)
