@@ -202,6 +202,6 @@ MANUAL_TEXTS = [
 
 
 def manual_sheet(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        MANUAL_TEXTS, f"`{K.MANUAL_SHEET_TEXT}` string, `{K.MANUAL_SHEET_LABEL}` string"
-    )
+    rows = ", ".join(f"({q(x)}, {q(y)})" for x, y in MANUAL_TEXTS)
+    names = f"`{K.MANUAL_SHEET_TEXT}`, `{K.MANUAL_SHEET_LABEL}`"
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS sheet({names})")

@@ -175,7 +175,7 @@ def _select(columns: list[tuple[str, str]], source: str = _P, keep: str = "row_s
 
 def _spark_section(spark: SparkSession, folder: str, name: str) -> DataFrame:
     rows = _forms(spark, folder).withColumn("t", form_functions.prepare(F.col("form_text")))
-    return rows.withColumn("s", form_functions.section(F.col("t"), K.SECTIONS[name]))
+    return rows.withColumn("s", form_functions.section("t", K.SECTIONS[name]))
 
 
 # --- pieces -----------------------------------------------------------------------------------
@@ -210,7 +210,7 @@ def get_line(spark: SparkSession, folder: str) -> DataFrame:
 def sections(spark: SparkSession, folder: str) -> DataFrame:
     rows = _forms(spark, folder).withColumn("t", form_functions.prepare(F.col("form_text")))
     return rows.select(
-        "row_seq", *[form_functions.section(F.col("t"), x).alias(n) for n, x in K.SECTIONS.items()]
+        "row_seq", *[form_functions.section("t", x).alias(n) for n, x in K.SECTIONS.items()]
     )
 
 

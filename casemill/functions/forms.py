@@ -59,18 +59,22 @@ def get_line(c: Column, phrase: str, skip: int = 0, deletes: Sequence[str] = ())
     return T.blank_to_null(T.strip(value))
 
 
-def section(c: Column, titles: Sequence[str]) -> Column:
-    """Text after a title up to the first *listed* later title that occurs anywhere; else the rest."""
-    result = F.lit(None).cast("string")
-    for title in reversed(titles):
-        body = F.split_part(c, F.lit(title), F.lit(2))
-        cut = body
-        for later in reversed(K.TITLES[K.TITLES.index(title) + 1 :]):
-            cut = F.when(
-                F.contains(c, F.lit(later)), F.split_part(body, F.lit(later), F.lit(1))
-            ).otherwise(cut)
-        result = F.when(F.contains(c, F.lit(title)), T.strip(cut)).otherwise(result)
-    return result
+def section(text: str, titles: Sequence[str]) -> Column:
+    """Text after a title up to the first *listed* later title that occurs anywhere; else the rest.
+
+    `text` names the prepared column.
+    """
+    cases = []
+    for title in titles:
+        body = f"split_part(`{text}`, {T.sql_literal(title)}, 2)"
+        cuts = " ".join(
+            f"WHEN contains(`{text}`, {t}) THEN split_part({body}, {t}, 1)"
+            for t in map(T.sql_literal, K.TITLES[K.TITLES.index(title) + 1 :])
+        )
+        cases.append(
+            f"WHEN contains(`{text}`, {T.sql_literal(title)}) THEN CASE {cuts} ELSE {body} END"
+        )
+    return T.strip(F.expr(f"CASE {' '.join(cases)} END"))
 
 
 def fields(c: Column, table: Sequence[tuple[str, str, int, Sequence[str]]]) -> list[Column]:

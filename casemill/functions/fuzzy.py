@@ -7,7 +7,7 @@ no join is needed. Callers apply these on distinct texts (`operators.joins.on_di
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -111,15 +111,12 @@ def best_choice(
     if len(choices) > MAX_CHOICES:
         raise ValueError(f"choices must be a fixed vocabulary of at most {MAX_CHOICES} entries")
     if scorer is None:
-        options = F.array(
-            *[
-                F.struct(
-                    F.lit(-i).alias("neg"),
-                    F.lit(c).alias("match"),
-                    F.array(*[F.lit(w) for w in _clean_words(c)]).alias("words"),
-                )
+        options = F.expr(
+            _array(
+                f"named_struct('neg', {-i}, 'match', {T.sql_literal(c)}, 'words', "
+                f"{_array(map(T.sql_literal, _clean_words(c)))})"
                 for i, c in enumerate(choices)
-            ]
+            )
         )
         return T.bind(
             T.clean_tokens(T.clean_hard(processed(key))),
@@ -150,6 +147,10 @@ def best_choice(
     return F.array_max(T.bind(processed(key), scored))
 
 
+def _array(items: Iterable[str]) -> str:
+    return f"array({', '.join(items)})"
+
+
 def _clean_words(choice: str) -> list[str]:
     """Words of a fixed spelling; its accents, case and punctuation folded on the driver."""
     folded = unicodedata.normalize("NFD", choice.lower()).encode("ascii", "ignore").decode()
@@ -174,23 +175,17 @@ def fuzzy_labels(
         raise ValueError(f"classes must list {K.MASTECTOMY_ORDER} in this order")
     score = scorer or (lambda a, b: ratio(a, b, cutoff))
 
-    options = []
+    entries = []
     for number, (label, spellings) in enumerate(classes.items()):
         sizes = [len(s.split()) for s in spellings]
         for s in spellings:
-            options.append(
-                F.struct(
-                    F.lit(number).alias("number"),
-                    F.lit(label).alias("label"),
-                    F.lit(" ".join("".join(x if x.isalnum() else " " for x in s).split())).alias(
-                        "spelling"
-                    ),
-                    F.sequence(
-                        F.lit(max(min(sizes) - 1, 1)), F.lit(max(sizes) + 1)
-                    ).alias("sizes"),
-                )
+            plain = " ".join("".join(x if x.isalnum() else " " for x in s).split())
+            entries.append(
+                f"named_struct('number', {number}, 'label', {T.sql_literal(label)}, "
+                f"'spelling', {T.sql_literal(plain)}, "
+                f"'sizes', sequence({max(min(sizes) - 1, 1)}, {max(sizes) + 1}))"
             )
-    options = F.array(*options)
+    options = F.expr(_array(entries))
 
     start = F.translate(intervention, K.INTERVENTION_CHARS_DELETE, "")
     start = F.trim(F.regexp_replace(start, K.SPACE + "+", " "))

@@ -30,6 +30,11 @@ def _accent_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+def sql_literal(value: str) -> str:
+    """A string as Spark SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def strip(c: Column) -> Column:
     """Remove leading and trailing whitespace of every Unicode kind."""
     return F.btrim(c, F.lit(K.WHITESPACE))

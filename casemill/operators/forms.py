@@ -6,7 +6,7 @@ fields in it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,18 +45,15 @@ def layout1(
     df = df.withColumn("_t", forms.prepare(F.col(f"`{form_text}`")))
     df = interventions(df, "_t", manual, "_i_")
     df = df.withColumns(
-        {f"_s_{key}": forms.section(F.col("_t"), titles) for key, titles in K.SECTIONS.items()}
+        {f"_s_{key}": forms.section("_t", titles) for key, titles in K.SECTIONS.items()}
     )
     leaves = layout1_leaves()
     df = df.select(*kept, "_i_intervention_raw", "_i_intervention_automatic",
                    "_i_intervention_manual", *[c.alias(f"_f_{n}") for n, c in leaves.items()])
-    parts = [
-        F.col("_i_intervention_raw").alias("intervention_raw"),
-        F.col("_i_intervention_automatic").alias("intervention_automatic"),
-        F.col("_i_intervention_manual").alias("intervention_manual"),
-        *_nested(leaves),
-    ]
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.struct(*parts).alias(out))
+    return df.select(
+        *[F.col(f"`{c}`") for c in kept],
+        F.expr(_struct([*_INTERVENTION_FIELDS, *_nested(list(leaves))])).alias(out),
+    )
 
 
 def layout1_leaves() -> dict[str, Column]:
@@ -88,26 +85,35 @@ def layout1_leaves() -> dict[str, Column]:
     return leaves
 
 
-def _nested(names: Mapping[str, Column] | Sequence[str], prefix: str = "") -> list[Column]:
+# The structs are written as SQL text: one short call instead of one per field.
+_INTERVENTION_NAMES = ("intervention_raw", "intervention_automatic", "intervention_manual")
+_INTERVENTION_FIELDS = [(n, f"`_i_{n}`") for n in _INTERVENTION_NAMES]
+
+
+def _struct(fields: Sequence[tuple[str, str]]) -> str:
+    return "named_struct(" + ", ".join(f"'{n}', {x}" for n, x in fields) + ")"
+
+
+def _any_set(columns: Sequence[str]) -> str:
+    return " OR ".join(f"{c} IS NOT NULL" for c in columns)
+
+
+def _nested(names: Sequence[str], prefix: str = "") -> list[tuple[str, str]]:
     """Structs out of the materialised `_f_<dotted name>` columns; null when all parts are null."""
-    result, done = [], set()
+    fields: dict[str, str] = {}
     for name in names:
         if not name.startswith(prefix):
             continue
         head, dot, _ = name[len(prefix) :].partition(".")
-        if head in done:
+        if head in fields:
             continue
-        done.add(head)
         if not dot:
-            result.append(F.col(f"`_f_{name}`").alias(head))
+            fields[head] = f"`_f_{name}`"
             continue
         inner = prefix + head + "."
-        present = F.lit(False)
-        for leaf in names:
-            if leaf.startswith(inner):
-                present = present | F.col(f"`_f_{leaf}`").isNotNull()
-        result.append(F.when(present, F.struct(*_nested(names, inner))).alias(head))
-    return result
+        parts = [f"`_f_{leaf}`" for leaf in names if leaf.startswith(inner)]
+        fields[head] = f"CASE WHEN {_any_set(parts)} THEN {_struct(_nested(names, inner))} END"
+    return list(fields.items())
 
 
 def layout2(
@@ -124,79 +130,69 @@ def layout2(
     parse = forms.layout2_single_fields if single_pattern else forms.layout2_fields
     found = parse(F.col("_t"))
     df = df.withColumns({f"_f_tumor_features.{n}": c for n, c in found.items()})
-    parts = [
-        F.col(f"_i_{n}").alias(n)
-        for n in ("intervention_raw", "intervention_automatic", "intervention_manual")
-    ] + _nested([f"tumor_features.{n}" for n in found])
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.struct(*parts).alias(out))
+    nested = _nested([f"tumor_features.{n}" for n in found])
+    return df.select(
+        *[F.col(f"`{c}`") for c in kept],
+        F.expr(_struct([*_INTERVENTION_FIELDS, *nested])).alias(out),
+    )
 
 
-def both_layouts(
-    df: DataFrame, form_text: str, manual: DataFrame | None = None, order: Sequence[str] = ()
-) -> DataFrame:
+def both_layouts(df: DataFrame, form_text: str, manual: DataFrame | None = None) -> DataFrame:
     """One row per form and layout in a shared schema: kept columns, `layout` (1 or 2), `form`.
 
     The interventions, which both layouts read the same way, are computed once.
     """
     first = layout1(df, form_text, manual, "_first")
-    text = forms.prepare(F.col(f"`{form_text}`"))
-    second = forms.layout2_fields(text)
-    wide = first.withColumns({f"_g_{n}": c for n, c in second.items()})
-    tumor = first.schema["_first"].dataType["tumor_features"].dataType
-    fields1 = [
-        F.col("_first.tumor_features")[f.name].alias(f.name) for f in tumor.fields
-    ] + [F.lit(None).cast("string").alias("van_nuys_degree")]
-    fields2 = [
-        (F.col(f"_g_{f.name}") if f.name in second else F.lit(None).cast(f.dataType)).alias(f.name)
-        for f in tumor.fields
-    ] + [F.col("_g_van_nuys_degree").alias("van_nuys_degree")]
-    any2 = F.lit(False)
-    for n in second:
-        any2 = any2 | F.col(f"_g_{n}").isNotNull()
-    shared = {"intervention_raw", "intervention_automatic", "intervention_manual"}
-    top = first.schema["_first"].dataType.fields
-
-    def form(layout: int) -> Column:
+    second = forms.layout2_fields(F.col("_t"))
+    wide = first.withColumn("_t", forms.prepare(F.col(f"`{form_text}`"))).withColumns(
+        {f"_g_{n}": c for n, c in second.items()}
+    )
+    whole = first.schema["_first"].dataType
+    tumor = whole["tumor_features"].dataType.fields
+    extra = [n for n in second if n not in {f.name for f in tumor}]
+
+    def null_of(kind: ST.DataType) -> str:
+        return f"CAST(NULL AS {kind.simpleString()})"
+
+    tumor1 = [(f.name, f"_first.tumor_features.`{f.name}`") for f in tumor]
+    tumor1 += [(n, null_of(ST.StringType())) for n in extra]
+    tumor2 = [(f.name, f"`_g_{f.name}`" if f.name in second else null_of(f.dataType)) for f in tumor]
+    tumor2 += [(n, f"`_g_{n}`") for n in extra]
+    present2 = _any_set([f"`_g_{n}`" for n in second])
+
+    def form(layout: int) -> str:
         parts = []
-        for f in top:
-            if f.name == "tumor_features":
-                whole = (
-                    F.when(F.col("_first.tumor_features").isNotNull(), F.struct(*fields1))
-                    if layout == 1
-                    else F.when(any2, F.struct(*fields2))
-                )
-                parts.append(whole.alias(f.name))
-            elif layout == 1 or f.name in shared:
-                parts.append(F.col("_first")[f.name].alias(f.name))
+        for f in whole.fields:
+            if f.name == "tumor_features" and layout == 1:
+                value = f"CASE WHEN _first.tumor_features IS NOT NULL THEN {_struct(tumor1)} END"
+            elif f.name == "tumor_features":
+                value = f"CASE WHEN {present2} THEN {_struct(tumor2)} END"
+            elif layout == 1 or f.name in _INTERVENTION_NAMES:
+                value = f"_first.`{f.name}`"
             else:
-                parts.append(F.lit(None).cast(f.dataType).alias(f.name))
-        return F.struct(*parts)
+                value = null_of(f.dataType)
+            parts.append((f.name, value))
+        return _struct([("layout", str(layout)), ("form", _struct(parts))])
 
-    layouts = F.explode(
-        F.array(*[F.struct(F.lit(n).alias("layout"), form(n).alias("form")) for n in (1, 2)])
-    )
-    return wide.select(*[F.col(f"`{c}`") for c in df.columns], layouts.alias("_l")).select(
-        *[F.col(f"`{c}`") for c in df.columns], "_l.layout", "_l.form"
-    )
+    kept = [f"`{c}`" for c in df.columns]
+    return wide.selectExpr(*kept, f"inline(array({form(1)}, {form(2)}))")
 
 
-def leaf_paths(
-    kind: ST.DataType, c: Column, path: str
-) -> Iterator[tuple[str, Column, bool]]:
-    """(dotted path, expression, is a list or map) of every leaf of a nested schema."""
+def leaf_paths(kind: ST.DataType, at: str, path: str = "") -> Iterator[tuple[str, str, bool]]:
+    """(dotted path, SQL text, is a list or map) of every leaf of a nested column."""
     if isinstance(kind, ST.StructType):
         for f in kind.fields:
             inner = f"{path}.{f.name}" if path else f.name
-            yield from leaf_paths(f.dataType, c[f.name], inner)
+            yield from leaf_paths(f.dataType, f"{at}.`{f.name}`", inner)
     else:
-        yield path, c, isinstance(kind, (ST.ArrayType, ST.MapType))
+        yield path, at, isinstance(kind, (ST.ArrayType, ST.MapType))
 
 
 def flatten(df: DataFrame, form: str = "form", keep: Sequence[str] = (K.STUDY,)) -> DataFrame:
     """Nested form to dotted columns: plain fields first, then nested ones, each sorted."""
-    paths = {p: c for p, c, _ in leaf_paths(df.schema[form].dataType, F.col(form), "")}
+    paths = {p: x for p, x, _ in leaf_paths(df.schema[form].dataType, f"`{form}`")}
     ordered = sorted(sorted(paths), key=lambda p: "." in p)
-    return df.select(*keep, *[paths[p].alias(p) for p in ordered])
+    return df.select(*keep, *[F.expr(paths[p]).alias(p) for p in ordered])
 
 
 def pruned(df: DataFrame, form: str = "form") -> DataFrame:

@@ -112,22 +112,13 @@ def form_text(study_form_rows: DataFrame, study: str = K.STUDY) -> DataFrame:
 
 def form_leaves(parsed: DataFrame, form: str = "form", study: str = K.STUDY) -> DataFrame:
     """Every present leaf of the parsed forms: study, path, value (lists as JSON text)."""
-    leaves = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(path).alias("path"),
-                    (F.to_json(c) if is_list else c.cast("string")).alias("value"),
-                )
-                for path, c, is_list in leaf_paths(parsed.schema[form].dataType, F.col(form), "")
-            ]
-        )
-    )
-    return (
-        parsed.select(study, leaves.alias("_leaf"))
-        .select(study, "_leaf.*")
-        .filter(F.col("value").isNotNull())
+    rows = ", ".join(
+        f"named_struct('path', '{path}', 'value', "
+        + (f"to_json({x}))" if is_list else f"CAST({x} AS STRING))")
+        for path, x, is_list in leaf_paths(parsed.schema[form].dataType, f"`{form}`")
     )
+    leaves = parsed.select(study, F.expr(f"inline(array({rows}))"))
+    return leaves.filter(F.col("value").isNotNull())
 
 
 def conflicts(leaves: DataFrame, study: str = K.STUDY) -> DataFrame:
@@ -155,9 +146,10 @@ def merge_forms(
 ) -> DataFrame:
     """One form per study: for each top-level field the last non-null value along `order`."""
     names = parsed.schema[form].dataType.names
-    at = F.struct(*order)
+    at = f"struct({', '.join(order)})"
     latest = [
-        F.max_by(F.col(form)[n], F.when(F.col(form)[n].isNotNull(), at)).alias(n) for n in names
+        F.expr(f"max_by({form}.`{n}`, CASE WHEN {form}.`{n}` IS NOT NULL THEN {at} END)").alias(n)
+        for n in names
     ]
     merged = parsed.groupBy(study).agg(*latest)
     return merged.select(study, F.struct(*names).alias(form))
