@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from casemill import constants as K
 from casemill.checks.sql import q
-from casemill.session import scratch_dir, table
+from casemill.session import scratch_dir, spread, table
 
 
 def _text(*lines: tuple[str, str] | str) -> str:
@@ -172,7 +172,7 @@ def once(
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _WRITTEN:
         path = scratch_dir(spark, name)
-        build().write.parquet(path)
+        spread(build()).write.parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
 

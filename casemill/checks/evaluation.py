@@ -11,7 +11,7 @@ from casemill.functions import bio
 from casemill.functions import text as T
 from casemill.operators import alignment, evaluate, labels, learn
 from casemill.plans import training
-from casemill.session import scratch_dir, table
+from casemill.session import scratch_dir, spread, table
 
 # --- token labels -----------------------------------------------------------------------------
 
@@ -28,7 +28,7 @@ _ROWS = f"(SELECT conv_id, turn, idx, l[idx + 1] AS l, p[idx + 1] AS p FROM (SEL
 
 
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
-    words = table(spark, folder, "conversations").select(*_KEYS, T.tokens(F.col("text")).alias("w"))
+    words = spread(table(spark, folder, "conversations")).select(*_KEYS, T.tokens(F.col("text")).alias("w"))
     return words.selectExpr(
         *_KEYS,
         "w",
@@ -110,7 +110,7 @@ _PAIRS = f"""(SELECT o.conv_id, o.turn, idx, pidx, word, ps,
 
 
 def _words(spark: SparkSession, folder: str) -> DataFrame:
-    words = alignment.token_rows(table(spark, folder, "conversations"), "text", _KEYS)
+    words = alignment.token_rows(spread(table(spark, folder, "conversations")), "text", _KEYS)
     return words.withColumn("label", F.expr(_LABEL.format(w="token")))
 
 
@@ -243,7 +243,7 @@ def _words_sql() -> str:
 
 
 def _document_words(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         "doc_id", T.clean_tokens(T.clean_model(F.col("text"))).alias("w")
     )
 

@@ -9,7 +9,7 @@ from casemill.checks import sql
 from casemill.checks.registry import check
 from casemill.functions import text as T
 from casemill.operators import coded, counts, filters, joins, rollup, samples
-from casemill.session import scratch_dir, table
+from casemill.session import scratch_dir, spread, table
 from casemill.sources import readers, writers
 
 # --- sources and sinks ------------------------------------------------------------------------
@@ -389,7 +389,7 @@ def value_counts(spark: SparkSession, folder: str) -> DataFrame:
     FROM (SELECT unnest({sql.tokens('text')}) AS label FROM documents) GROUP BY label""",
 )
 def value_counts_exploded(spark: SparkSession, folder: str) -> DataFrame:
-    words = table(spark, folder, "documents").select(T.tokens(F.col("text")).alias("words"))
+    words = spread(table(spark, folder, "documents")).select(T.tokens(F.col("text")).alias("words"))
     return _rounded(counts.value_counts_exploded(words, "words"))
 
 
@@ -427,7 +427,7 @@ def singletons_other(spark: SparkSession, folder: str) -> DataFrame:
     FROM w, top""",
 )
 def topk_other_list(spark: SparkSession, folder: str) -> DataFrame:
-    words = table(spark, folder, "documents").select("doc_id", T.tokens(F.col("text")).alias("y"))
+    words = spread(table(spark, folder, "documents")).select("doc_id", T.tokens(F.col("text")).alias("y"))
     kept = counts.topk_other_list(words, "y", 5)
     return kept.select(
         "doc_id", F.size("y").alias("n"), F.md5(F.array_join("y", "|")).alias("digest")
@@ -444,7 +444,7 @@ def label_vocab(spark: SparkSession, folder: str) -> DataFrame:
     f"SELECT DISTINCT unnest({sql.tokens('text')}) AS label FROM conversations ORDER BY 1",
 )
 def label_vocab_list(spark: SparkSession, folder: str) -> DataFrame:
-    words = table(spark, folder, "conversations").select(T.tokens(F.col("text")).alias("y"))
+    words = spread(table(spark, folder, "conversations")).select(T.tokens(F.col("text")).alias("y"))
     return counts.label_vocabulary(words, "y")
 
 

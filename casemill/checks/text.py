@@ -11,7 +11,7 @@ from casemill.checks.registry import check
 from casemill.functions import fuzzy, measures
 from casemill.functions import text as T
 from casemill.operators import joins
-from casemill.session import table
+from casemill.session import spread, table
 
 
 def _digest(df: DataFrame, key: str, out: Column) -> DataFrame:
@@ -29,23 +29,23 @@ def _digest_sql(expression: str, source: str = "documents", key: str = "doc_id")
 
 @check("txt_strip_accents", _digest_sql(sql.strip_accents("text")))
 def strip_accents(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest(table(spark, folder, "documents"), "doc_id", T.strip_accents(F.col("text")))
+    return _digest(spread(table(spark, folder, "documents")), "doc_id", T.strip_accents(F.col("text")))
 
 
 @check("txt_clean_hard", _digest_sql(sql.clean_hard("text")))
 def clean_hard(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest(table(spark, folder, "documents"), "doc_id", T.clean_hard(F.col("text")))
+    return _digest(spread(table(spark, folder, "documents")), "doc_id", T.clean_hard(F.col("text")))
 
 
 @check("txt_clean_model", lambda: _digest_sql(sql.clean_model("text")))
 def clean_model(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest(table(spark, folder, "documents"), "doc_id", T.clean_model(F.col("text")))
+    return _digest(spread(table(spark, folder, "documents")), "doc_id", T.clean_model(F.col("text")))
 
 
 @check("txt_tokens", _digest_sql(f"array_to_string({sql.tokens('text')}, '|')"))
 def tokens(spark: SparkSession, folder: str) -> DataFrame:
     words = F.array_join(T.tokens(F.col("text")), "|")
-    return _digest(table(spark, folder, "documents"), "doc_id", words)
+    return _digest(spread(table(spark, folder, "documents")), "doc_id", words)
 
 
 @check(
@@ -59,7 +59,7 @@ def tokens(spark: SparkSession, folder: str) -> DataFrame:
       FROM (SELECT doc_id, """ + sql.tokens("text") + """ AS w FROM documents))""",
 )
 def word_ngrams(spark: SparkSession, folder: str) -> DataFrame:
-    words = table(spark, folder, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"))
+    words = spread(table(spark, folder, "documents")).select("doc_id", T.tokens(F.col("text")).alias("w"))
     grams = words.select("doc_id", T.word_ngrams(F.col("w"), [1, 2, 3]).alias("g"))
     return grams.select(
         "doc_id", F.size("g").alias("n_grams"), F.md5(F.array_join("g", "|")).alias("digest")
@@ -138,7 +138,8 @@ _MARKED = "'##ENTRY_' || CAST(n_chars AS STRING) || '## ' || text || ' ##entry_#
 
 
 def _marked(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").selectExpr("doc_id", f"{_MARKED} AS text")
+    rows = table(spark, folder, "documents").selectExpr("doc_id", f"{_MARKED} AS text")
+    return spread(rows)
 
 
 _MARKED_SOURCE = f"(SELECT doc_id, {_MARKED} AS text FROM documents)"
@@ -169,7 +170,7 @@ def display_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 @check("txt_model_input", _digest_sql("replace(lower(text), chr(10), ' ')"))
 def model_input(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest(table(spark, folder, "documents"), "doc_id", T.model_input(F.col("text")))
+    return _digest(spread(table(spark, folder, "documents")), "doc_id", T.model_input(F.col("text")))
 
 
 # --- measures ---------------------------------------------------------------------------------

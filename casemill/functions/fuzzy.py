@@ -183,34 +183,55 @@ def fuzzy_labels(
             entries.append(
                 f"named_struct('number', {number}, 'label', {T.sql_literal(label)}, "
                 f"'spelling', {T.sql_literal(plain)}, "
-                f"'sizes', sequence({max(min(sizes) - 1, 1)}, {max(sizes) + 1}))"
+                f"'low', {max(min(sizes) - 1, 1)}, 'high', {max(sizes) + 1})"
             )
     options = F.expr(_array(entries))
 
+    longest = max(len(s.split()) for group in classes.values() for s in group) + 1
+
     start = F.translate(intervention, K.INTERVENTION_CHARS_DELETE, "")
     start = F.trim(F.regexp_replace(start, K.SPACE + "+", " "))
 
-    def try_option(state: Column, option: Column) -> Column:
-        def grams_of(words: Column) -> Column:
-            fitting = F.filter(option["sizes"], lambda m: m <= F.size(words))
-            return F.flatten(
-                F.transform(
-                    fitting,
-                    lambda m: F.transform(
-                        F.sequence(F.lit(1), F.size(words) - m + 1),
-                        lambda i: F.struct(
-                            m.alias("words"),
-                            (-i).alias("neg"),
-                            F.array_join(F.slice(words, i, m), " ").alias("gram"),
-                        ),
-                    ),
-                )
+    def grams_of(text: Column) -> Column:
+        """Every n-gram of a text, with the plain form that is scored."""
+
+        def of_size(p: Column, m: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(1), F.size(p["words"]) - m + 1),
+                lambda i: F.struct(
+                    m.alias("words"),
+                    (-i).alias("neg"),
+                    F.array_join(F.slice(p["words"], i, m), " ").alias("gram"),
+                    T.strip(F.array_join(F.slice(p["plain"], i, m), " ")).alias("plain"),
+                ),
             )
 
+        def every(p: Column) -> Column:
+            sizes = F.sequence(F.lit(1), F.least(F.size(p["words"]), F.lit(longest)))
+            grams = F.flatten(F.transform(sizes, lambda m: of_size(p, m)))
+            return F.when(F.size(p["words"]) > 0, grams)
+
+        words = T.clean_tokens(text)
+        pair = F.struct(
+            words.alias("words"),
+            F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"(?U)\W", " "))).alias("plain"),
+        )
+        return T.bind(pair, every)
+
+    def worth_scoring(g: Column, option: Column) -> Column:
+        fits = (g["words"] >= option["low"]) & (g["words"] <= option["high"])
+        if scorer is not None:
+            return fits
+        # lengths alone bound the score: most n-grams stop here
+        both = F.length(g["plain"]) + F.length(option["spelling"])
+        apart = F.abs(F.length(g["plain"]) - F.length(option["spelling"]))
+        return fits & (apart <= both * (1 - (cutoff - 0.5) / 100))
+
+    def try_option(state: Column, option: Column) -> Column:
         scored = F.transform(
-            T.bind(T.clean_tokens(state["text"]), grams_of),
+            F.filter(state["grams"], lambda g: worth_scoring(g, option)),
             lambda g: F.struct(
-                score(processed(g["gram"]), option["spelling"]).alias("score"),
+                score(g["plain"], option["spelling"]).alias("score"),
                 g["words"].alias("words"),
                 g["neg"].alias("neg"),
                 g["gram"].alias("gram"),
@@ -224,15 +245,17 @@ def fuzzy_labels(
             label = F.when(option["label"] != "", F.array(option["label"])).otherwise(
                 F.array().cast("array<string>")
             )
-            return F.when(
-                b.isNotNull(),
-                F.struct(
-                    rest.alias("text"),
+
+            def cut(text: Column) -> Column:
+                return F.struct(
+                    text.alias("text"),
                     F.concat(state["labels"], label).alias("labels"),
                     option["number"].alias("taken"),
                     F.lit(True).alias("matched"),
-                ),
-            ).otherwise(state)
+                    grams_of(text).alias("grams"),
+                )
+
+            return F.when(b.isNotNull(), T.bind(rest, cut)).otherwise(state)
 
         skip = (state["taken"] == option["number"]) | (state["text"] == "")
         return F.when(skip, state).otherwise(T.bind(best, settle))
@@ -243,6 +266,7 @@ def fuzzy_labels(
             state["labels"].alias("labels"),
             F.lit(-1).alias("taken"),
             F.lit(False).alias("matched"),
+            state["grams"].alias("grams"),
         )
         ran = F.aggregate(options, fresh, try_option)
         return F.when(state["matched"] & (state["text"] != ""), ran).otherwise(state)
@@ -253,6 +277,7 @@ def fuzzy_labels(
             F.array().cast("array<string>").alias("labels"),
             F.lit(-1).alias("taken"),
             F.lit(True).alias("matched"),
+            grams_of(text).alias("grams"),
         )
         # every pass that matches removes text, so the word count bounds the passes
         passes = F.sequence(F.lit(1), F.greatest(F.size(T.clean_tokens(text)), F.lit(1)))
