@@ -179,7 +179,7 @@ def once(
 
 def reports(spark: SparkSession, folder: str) -> DataFrame:
     def build() -> DataFrame:
-        return spark.sql(REPORTS_SQL, part=table(spark, folder, "part"))
+        return spark.sql(REPORTS_SQL, part=spread(table(spark, folder, "part")))
 
     return once(spark, folder, "reports", build)
 

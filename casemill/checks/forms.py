@@ -12,7 +12,7 @@ from casemill.checks.text import _MACRO, _SPANS
 from casemill.functions import forms as form_functions
 from casemill.operators import counts, evaluate, filters, forms, joins, labels, rollup
 from casemill.plans import dataset, preprocess
-from casemill.session import scratch_dir, table
+from casemill.session import scratch_dir, spread, table
 from casemill.sources import readers, writers
 
 _REPORTS = derive.reports_cte()
@@ -604,7 +604,7 @@ def _leaf_rows() -> str:
 
 def _parsed(spark: SparkSession, folder: str) -> DataFrame:
     build = lambda: forms.both_layouts(
-        _study_forms(spark, folder), "value", _manual(spark)
+        spread(_study_forms(spark, folder)), "value", _manual(spark)
     )
     return derive.once(spark, folder, "both-layouts", build)
 

@@ -210,11 +210,19 @@ def layout2_fields(c: Column) -> dict[str, Column]:
     return found
 
 
+_SEPARATOR = "\x00\x01\x02"
+
+
 def layout2_single_fields(c: Column) -> dict[str, Column]:
     """Strict variant: one pattern with every field in order, all null when any is missing."""
     names = ["histological_degree" if n == "van_nuys_degree" else n for n in K.LAYOUT2_TITLES]
     pattern = "".join(
         rf"{K.NUMBERED}{title}:?{K.SPACE}*([\s\S]*)" for title in K.LAYOUT2_TITLES.values()
     )
-    pattern += K.NUMBERED + "microcalcificaciones"
-    return {name: _found(c, pattern, i) for i, name in enumerate(names, 1)}
+    last = "microcalcificaciones"
+    pattern += K.NUMBERED + last
+    # all groups out of one match: the match alone, then its groups joined by a separator
+    whole = F.when(F.contains(c, F.lit(last)), F.regexp_substr(c, F.lit(pattern)))
+    groups = _SEPARATOR.join(f"${i}" for i in range(1, len(names) + 1))
+    parts = F.split(F.regexp_replace(whole, pattern, groups), _SEPARATOR)
+    return {name: T.strip(F.get(parts, i)) for i, name in enumerate(names)}

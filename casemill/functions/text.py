@@ -8,7 +8,7 @@ import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill import constants as K
@@ -45,6 +45,16 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def exploded(df: DataFrame, keep: Sequence[str], items: Column | str, out: str) -> DataFrame:
+    """One row per array element.
+
+    A plain explode makes the optimizer filter on the size of the array first, which computes a
+    costly array twice; the outer form does not, and its rows for empty arrays are dropped here.
+    """
+    rows = df.select(*keep, F.posexplode_outer(items).alias("_at", out))
+    return rows.filter(F.col("_at").isNotNull()).drop("_at")
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

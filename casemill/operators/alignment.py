@@ -21,7 +21,9 @@ BLOCK = 64
 def token_rows(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """Whitespace tokens as rows: keys, index, token, start, end."""
     gaps = F.regexp_extract_all(F.col(text), F.lit(f"{K.SPACE}*{K.NOT_SPACE}+"), F.lit(0))
-    rows = df.select(*keys, F.posexplode(gaps).alias("index", "_raw"))
+    rows = df.select(*keys, F.posexplode_outer(gaps).alias("index", "_raw")).filter(
+        F.col("index").isNotNull()
+    )
     before = Window.partitionBy(*keys).orderBy("index")
     token = F.regexp_replace("_raw", f"^{K.SPACE}+", "")
     rows = rows.withColumn("end", F.sum(F.length("_raw")).over(before).cast("int"))
@@ -130,4 +132,5 @@ def sequences(
 
 def span_rows(df: DataFrame, labels: str, keys: Sequence[str]) -> DataFrame:
     """Spans of label sequences as rows: keys, start, end, label."""
-    return df.select(*keys, F.inline(bio.spans(F.col(labels))))
+    rows = df.select(*keys, F.inline_outer(bio.spans(F.col(labels))))
+    return rows.filter(F.col("start").isNotNull())

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill import constants as K
 from casemill.functions import fuzzy
+from casemill.functions import text as T
 from casemill.operators import joins
 
 MAX_BROADCAST_LABELS = 100_000
@@ -34,7 +35,7 @@ def value_counts(df: DataFrame, label: str) -> DataFrame:
 
 def value_counts_exploded(df: DataFrame, labels: str) -> DataFrame:
     """`value_counts` after flattening list labels."""
-    return value_counts(df.select(F.explode(F.col(f"`{labels}`")).alias("label")), "label")
+    return value_counts(T.exploded(df, [], F.col(f"`{labels}`"), "label"), "label")
 
 
 def intervention_counts(df: DataFrame, text: str = "intervention_raw") -> DataFrame:
@@ -84,8 +85,7 @@ def singletons_other(df: DataFrame, label: str, other: str = K.OTHER) -> DataFra
 
 def topk_other_list(df: DataFrame, labels: str, k: int, other: str = K.OTHER) -> DataFrame:
     """Keep the k most frequent labels inside list labels, replace the others elementwise."""
-    exploded = df.select(F.explode(labels).alias("label"))
-    top = top_labels(exploded, "label", k).agg(F.collect_list("label")).scalar()
+    top = top_labels(T.exploded(df, [], labels, "label"), "label", k).agg(F.collect_list("label")).scalar()
     return df.withColumn("_top", top).withColumn(
         labels,
         F.transform(
@@ -96,9 +96,11 @@ def topk_other_list(df: DataFrame, labels: str, k: int, other: str = K.OTHER) ->
 
 def label_vocabulary(df: DataFrame, label: str) -> DataFrame:
     """Sorted distinct labels of a scalar or list column."""
-    is_list = df.schema[label].dataType.typeName() == "array"
-    value: Column = F.explode(label) if is_list else F.col(label)
-    return df.select(value.alias("label")).dropna().distinct().orderBy("label")
+    if df.schema[label].dataType.typeName() == "array":
+        values = T.exploded(df, [], label, "label")
+    else:
+        values = df.select(F.col(label).alias("label"))
+    return values.dropna().distinct().orderBy("label")
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:

@@ -353,7 +353,8 @@ def curve_area(points: DataFrame, out: str = "auc") -> DataFrame:
 
 def entity_rows(df: DataFrame, labels: str, key: str) -> DataFrame:
     """Entities of label sequences: a B, or an I after O or after another type, starts one."""
-    return df.select(key, F.inline(bio.chunks(F.col(labels))))
+    rows = df.select(key, F.inline_outer(bio.chunks(F.col(labels))))
+    return rows.filter(F.col("start").isNotNull())
 
 
 def entity_scores(df: DataFrame, true: str, pred: str, key: str) -> DataFrame:

@@ -18,18 +18,16 @@ from casemill.functions import text as T
 from casemill.operators import filters, joins
 
 
-def interventions(
-    df: DataFrame, form_text: str, manual: DataFrame | None = None, prefix: str = ""
-) -> DataFrame:
-    """Add intervention_raw, intervention_automatic and intervention_manual.
-
-    Automatic labels are computed once per distinct intervention text.
-    """
-    raw, auto, hand = (
-        prefix + n for n in ("intervention_raw", "intervention_automatic", "intervention_manual")
-    )
+def interventions(df: DataFrame, form_text: str, manual: DataFrame | None = None) -> DataFrame:
+    """Add intervention_raw, intervention_automatic and intervention_manual."""
     prepared = forms.prepare(F.col(f"`{form_text}`"))
-    df = df.withColumn(raw, T.blank_to_null(forms.intervention_raw(prepared)))
+    raw = T.blank_to_null(forms.intervention_raw(prepared))
+    return _labelled(df.withColumn("intervention_raw", raw), manual)
+
+
+def _labelled(df: DataFrame, manual: DataFrame | None, prefix: str = "") -> DataFrame:
+    """Automatic labels, computed once per distinct intervention text, and manual ones."""
+    raw, auto, hand = (prefix + n for n in _INTERVENTION_NAMES)
     df = joins.on_distinct(df, raw, {auto: fuzzy.fuzzy_labels})
     df = df.withColumn(auto, F.when(F.size(auto) > 0, F.col(auto)))
     if manual is None:
@@ -40,16 +38,22 @@ def interventions(
 def layout1(
     df: DataFrame, form_text: str, manual: DataFrame | None = None, out: str = "form"
 ) -> DataFrame:
-    """Add the parsed first layout as one struct, nulls for everything absent or empty."""
+    """Add the parsed first layout as one struct, nulls for everything absent or empty.
+
+    All fields are parsed before the joins by intervention text: a text that very many forms
+    share then moves parsed rows only, and no parsing waits on its partition.
+    """
     kept = df.columns
     df = df.withColumn("_t", forms.prepare(F.col(f"`{form_text}`")))
-    df = interventions(df, "_t", manual, "_i_")
     df = df.withColumns(
         {f"_s_{key}": forms.section("_t", titles) for key, titles in K.SECTIONS.items()}
     )
     leaves = layout1_leaves()
-    df = df.select(*kept, "_i_intervention_raw", "_i_intervention_automatic",
-                   "_i_intervention_manual", *[c.alias(f"_f_{n}") for n, c in leaves.items()])
+    raw = T.blank_to_null(forms.intervention_raw(F.col("_t")))
+    df = df.select(
+        *kept, raw.alias("_i_intervention_raw"), *[c.alias(f"_f_{n}") for n, c in leaves.items()]
+    )
+    df = _labelled(df, manual, "_i_")
     return df.select(
         *[F.col(f"`{c}`") for c in kept],
         F.expr(_struct([*_INTERVENTION_FIELDS, *_nested(list(leaves))])).alias(out),
@@ -126,10 +130,12 @@ def layout2(
     """Add the parsed second layout; empty captures stay empty strings."""
     kept = df.columns
     df = df.withColumn("_t", forms.prepare(F.col(f"`{form_text}`")))
-    df = interventions(df, "_t", manual, "_i_")
     parse = forms.layout2_single_fields if single_pattern else forms.layout2_fields
     found = parse(F.col("_t"))
-    df = df.withColumns({f"_f_tumor_features.{n}": c for n, c in found.items()})
+    raw = T.blank_to_null(forms.intervention_raw(F.col("_t")))
+    columns = {"_i_intervention_raw": raw}
+    columns |= {f"_f_tumor_features.{n}": c for n, c in found.items()}
+    df = _labelled(df.withColumns(columns), manual, "_i_")
     nested = _nested([f"tumor_features.{n}" for n in found])
     return df.select(
         *[F.col(f"`{c}`") for c in kept],
@@ -142,12 +148,12 @@ def both_layouts(df: DataFrame, form_text: str, manual: DataFrame | None = None)
 
     The interventions, which both layouts read the same way, are computed once.
     """
-    first = layout1(df, form_text, manual, "_first")
-    second = forms.layout2_fields(F.col("_t"))
-    wide = first.withColumn("_t", forms.prepare(F.col(f"`{form_text}`"))).withColumns(
+    second = forms.layout2_fields(F.col("_p"))
+    both = df.withColumn("_p", forms.prepare(F.col(f"`{form_text}`"))).withColumns(
         {f"_g_{n}": c for n, c in second.items()}
     )
-    whole = first.schema["_first"].dataType
+    wide = layout1(both.drop("_p"), form_text, manual, "_first")
+    whole = wide.schema["_first"].dataType
     tumor = whole["tumor_features"].dataType.fields
     extra = [n for n in second if n not in {f.name for f in tumor}]
 

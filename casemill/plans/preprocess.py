@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from casemill import constants as K
 from casemill.operators import filters, forms, rollup
-from casemill.session import written
+from casemill.session import spread, written
 from casemill.sources import writers
 
 
@@ -38,7 +38,7 @@ def process_reports(
     """
     rows = filters.without_studies(rows, denied, study)
     found = written(rollup.study_forms(rows, form_columns, study, seq), "form-texts")
-    parsed = written(forms.both_layouts(found, "value", manual), "parsed-forms")
+    parsed = written(forms.both_layouts(spread(found), "value", manual), "parsed-forms")
     leaves = rollup.form_leaves(parsed, "form", study)
     if strict:
         rollup.raise_on_conflict(leaves, study)
