@@ -9,6 +9,7 @@ from casemill import constants as K
 from casemill.functions import fuzzy
 from casemill.functions import text as T
 from casemill.operators import joins
+from casemill.session import for_costly_rows
 
 MAX_BROADCAST_LABELS = 100_000
 SALTS = 256
@@ -45,7 +46,7 @@ def intervention_counts(df: DataFrame, text: str = "intervention_raw") -> DataFr
         .groupBy(F.col(text).alias("intervention"))
         .agg(F.count("*").alias("counts"))
     )
-    classified = counts.withColumn("classes", fuzzy.fuzzy_labels(F.col("intervention")))
+    classified = for_costly_rows(counts).withColumn("classes", fuzzy.fuzzy_labels(F.col("intervention")))
     return classified.orderBy(F.size("classes"), "intervention")
 
 

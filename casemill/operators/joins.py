@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from casemill import constants as K
 from casemill.functions import fuzzy
 from casemill.functions import text as T
+from casemill.session import for_costly_rows
 
 
 def on_distinct(
@@ -23,7 +24,7 @@ def on_distinct(
 
     The copies of one text are joined back by the text; null texts get null results.
     """
-    texts = df.select(F.col(column).alias("_text")).dropna().distinct()
+    texts = for_costly_rows(df.select(F.col(column).alias("_text")).dropna().distinct())
     scored = texts.select("_text", *[f(F.col("_text")).alias(n) for n, f in results.items()])
     return df.join(scored, F.col(column) == F.col("_text"), "left").drop("_text")
 
@@ -95,7 +96,7 @@ def fuzzy_unmatched(
 def _best(
     keys: DataFrame, column: str, choices: Sequence[str], scorer: fuzzy.Scorer | None
 ) -> DataFrame:
-    distinct = keys.select(F.col(column).alias("key")).dropna().distinct()
+    distinct = for_costly_rows(keys.select(F.col(column).alias("key")).dropna().distinct())
     best = distinct.withColumn("_best", fuzzy.best_choice(F.col("key"), choices, scorer))
     return best.select(
         "key", F.col("_best.match").alias("match"), F.col("_best.score").alias("score")

@@ -38,5 +38,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def for_costly_rows(df: DataFrame) -> DataFrame:
+    """Rows in as many parts as the session shuffles into, or one per core if that is more.
+
+    After an aggregation the runtime merges parts by their bytes. For short texts that each take
+    long to process that leaves far too few tasks; a stated number of parts is not merged.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, spark.sparkContext.defaultParallelism))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
