@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import zipfile
-from pathlib import Path
-
-import pyspark
-
 from casemill import constants as K
+from casemill.functions.text import spanish_stopwords
 
 NL = "chr(10)"
 
@@ -32,16 +28,8 @@ def clean_hard(x: str) -> str:
     return f"trim(regexp_replace({s}, '[\\t-\\r\\x1c-\\x20]+', ' ', 'g'))"
 
 
-def stopwords() -> list[str]:
-    """The Spanish list inside the installed Spark, read without a session."""
-    jar = next(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        text = z.read("org/apache/spark/ml/feature/stopwords/spanish.txt").decode("utf-8")
-    return text.split()
-
-
 def clean_model(x: str) -> str:
-    words = "[" + ", ".join(q(w) for w in stopwords()) + "]"
+    words = "[" + ", ".join(q(w) for w in spanish_stopwords()) + "]"
     spaced = clean_hard(x)
     for ch in K.MODEL_SPACE_CHARS:
         spaced = f"replace({spaced}, {q(ch)}, ' ')"

@@ -6,8 +6,8 @@ import functools
 import sys
 import unicodedata
 from collections.abc import Callable, Iterable, Sequence
+from importlib import resources
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +75,8 @@ def clean_hard(c: Column) -> Column:
 
 
 def spanish_stopwords() -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords("spanish")
+    """Spark ML's default Spanish list, a fixed value kept as a data file (a test compares them)."""
+    return resources.files("casemill.data").joinpath("stopwords_es.txt").read_text("utf-8").split()
 
 
 def clean_model(c: Column, stopwords: Sequence[str] | None = None) -> Column:

@@ -149,3 +149,11 @@ def test_measure_values(spark):
     assert got == [[55.0, 30.0], [0.03], [2.5], [], [], None]
     in_cm = [g[0] for g in one(spark, texts[:2], measures.measure_value(F.col("t"), K.CM_FACTORS))]
     assert in_cm == [pytest.approx([0.55, 0.3]), [300.0]]
+
+
+def test_stopword_file_is_the_default_list(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    from casemill.functions.text import spanish_stopwords
+
+    assert spanish_stopwords() == list(StopWordsRemover.loadDefaultStopWords("spanish"))
