@@ -54,7 +54,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, least: int = LEAST_PAIRS) ->
     rounds: list[int] = []
     weight = np.ones(first_rule, dtype=np.int64)
     buckets, shift = 1 << BUCKET_BITS, np.uint32(32 - BUCKET_BITS)
-    before = len(seq) + len(seq) * LEAST_GAIN + 1
+    before = 2 * len(seq)
     while len(seq) > 1 and before - len(seq) >= LEAST_GAIN * before:
         before = len(seq)
         left, right = seq[:-1], seq[1:]
