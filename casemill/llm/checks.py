@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casemill.llm import token_store
+from casemill.llm import packing, piece_ids, token_store
 from casemill.llm.registry import QUERIES, SQL, query
 from casemill.session import table
 
 __all__ = ["QUERIES", "SQL"]
 
 
+@query("op3_best_fit_packing")
+def packing_query(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
 @query("op4_token_store")
 def token_store_query(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.round_trip(table(spark, folder, "documents"), end_id=2)
+
+
+@query("op9_sentencepiece")
+def sentencepiece_query(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_ids.encode_decode(table(spark, folder, "documents"))
