@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casemill.llm import packing, piece_ids, token_store
+from casemill.llm import ngram_join, packing, piece_ids, token_store
 from casemill.llm.registry import QUERIES, SQL, query
 from casemill.session import table
 
 __all__ = ["QUERIES", "SQL"]
 
 
+@query("op1_ngram_join")
+def ngram_join_query(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.link(table(spark, folder, "documents"))
+
+
 @query("op3_best_fit_packing")
 def packing_query(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
