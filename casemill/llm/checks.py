@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casemill.llm import ngram_join, packing, piece_ids, token_store
+from casemill.llm import main_text, neighbours, ngram_join, packing, piece_ids, quality, token_store
 from casemill.llm.registry import QUERIES, SQL, query
 from casemill.session import table
 
@@ -26,6 +26,21 @@ def token_store_query(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.round_trip(table(spark, folder, "documents"), end_id=2)
 
 
+@query("op7_quality")
+def quality_query(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op8_main_text")
+def main_text_query(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract_pages(table(spark, folder, "pages"))
+
+
 @query("op9_sentencepiece")
 def sentencepiece_query(spark: SparkSession, folder: str) -> DataFrame:
     return piece_ids.encode_decode(table(spark, folder, "documents"))
+
+
+@query("op10_neighbours")
+def neighbours_query(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(table(spark, folder, "embeddings"))
