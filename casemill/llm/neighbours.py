@@ -20,7 +20,7 @@ QUERY_EVERY = 20
 PROJECTIONS = 48
 COLLISION_SHARE = 0.9
 #: Verified vectors of a block after which windows stop to grow: the neighbours wanted and a share.
-VERIFIED_SHARE = 0.25
+VERIFIED_SHARE = 0.3
 #: First half width of a window in standard deviations of its projection, and its growth.
 FIRST_WINDOW = 1.5
 GROWTH = 1.15

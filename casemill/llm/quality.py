@@ -22,8 +22,8 @@ from casemill.session import written
 
 #: Random features of the kernel, its width in units of sqrt(statistics), and the penalty a row.
 FEATURES = 256
-WIDTH = 0.7
-PENALTY = 1e-4
+WIDTH = 1.0
+PENALTY = 1e-5
 #: Bins of the raw score over [-1, 2] for the calibration.
 BINS = 3000
 #: Rows whose id's crc32 has remainder 0 of this are held out; remainder 4 fits the calibration.
