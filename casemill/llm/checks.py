@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casemill.llm import main_text, neighbours, ngram_join, packing, piece_ids, quality, token_store
+import corpus_pipeline
+from casemill.llm import (
+    main_text, masked_lm, neighbours, ngram_join, packing, piece_ids, quality, spot_signatures,
+    surrogates, token_store,
+)
 from casemill.llm.registry import QUERIES, SQL, query
 from casemill.session import table
 
@@ -16,6 +20,15 @@ def ngram_join_query(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.link(table(spark, folder, "documents"))
 
 
+#: The key of a run is its owner's secret; this one is for the checks alone.
+CHECK_KEY = "a key for checks"
+
+
+@query("op2_surrogates")
+def surrogates_query(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogates.replace(table(spark, folder, "documents"), CHECK_KEY)
+
+
 @query("op3_best_fit_packing")
 def packing_query(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
@@ -26,6 +39,16 @@ def token_store_query(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.round_trip(table(spark, folder, "documents"), end_id=2)
 
 
+@query("op5_spot_signatures")
+def spot_signatures_query(spark: SparkSession, folder: str) -> DataFrame:
+    return spot_signatures.edited_likeness(table(spark, folder, "documents"))
+
+
+@query("op6_masked_lm")
+def masked_lm_query(spark: SparkSession, folder: str) -> DataFrame:
+    return masked_lm.score(table(spark, folder, "documents"))
+
+
 @query("op7_quality")
 def quality_query(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -44,3 +67,8 @@ def sentencepiece_query(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_neighbours")
 def neighbours_query(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(table(spark, folder, "embeddings"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline_query(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)

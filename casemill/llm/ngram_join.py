@@ -250,18 +250,22 @@ def link(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) of each document.
 
+    Two more columns tell one document of each group: `text_hash` (of Spark's xxhash64) and `first`,
+    true for the rows with the component's smallest id and, of these, the smallest hash.
+
     Null, empty and blank texts have no n-grams and are linked with nothing. Rows that share an id
     stay rows of their own; a null id counts for no smallest id and, if linked with nothing, has a
-    null component. Other columns are not read. No rows: no rows.
+    null component. Other columns are not read. No rows: no rows. (The largest long is no id.)
     """
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    no_id = F.lit(2**63 - 1)
     sets = written(_sets(docs, words, percent), "sets")
     linkable = sets.where("n > 0")
     holders = written(
         linkable.groupBy("key1", "key2").agg(
-            F.min("doc_id").alias("least_id"),
+            F.min(F.struct(F.coalesce("doc_id", no_id).alias("id"), "text_hash")).alias("least"),
             F.min(F.when(F.col("elements").isNotNull(), F.struct("row", "doc_id", "text_hash", "n"))).alias("h"),
-        ).select("key1", "key2", "least_id", "h.*"),
+        ).select("key1", "key2", "least", "h.*"),
         "holders",
     )
 
@@ -368,12 +372,13 @@ def link(
     named = holders.join(groups.withColumnRenamed("node", "row"), "row", "left").withColumn(
         "component", F.coalesce("component", "row")
     )
-    smallest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_set = named.join(smallest, "component").select("key1", "key2", "component_id")
-    rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "key1", "key2")
-    return (
-        rows.where("n_shingles > 0")
-        .join(of_set, ["key1", "key2"])
-        .select("doc_id", "n_shingles", "component_id")
-        .union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("c")))
-    )
+    smallest = named.groupBy("component").agg(F.min("least").alias("least"))
+    of_set = named.drop("least").join(smallest, "component").select("key1", "key2", "least")
+    rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "key1", "key2", "text_hash")
+    own = F.struct(F.coalesce("doc_id", no_id).alias("id"), "text_hash")
+    joined = rows.where("n_shingles > 0").join(of_set, ["key1", "key2"])
+    alone = rows.where("n_shingles = 0").withColumn("least", own)
+    return joined.unionByName(alone).select(
+        "doc_id", "n_shingles", F.nullif(F.col("least.id"), no_id).alias("component_id"), "text_hash",
+        (own == F.col("least")).alias("first"),
+    )

@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.word_ids import texts_of
 from casemill.session import written
 
 #: Random features of the kernel, its width in units of sqrt(statistics), and the penalty a row.
@@ -94,23 +93,22 @@ def statistics(text: str | None) -> list[float]:
 
 
 def described(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id and the statistics of each whole text as columns s0, s1, ..."""
+    """doc_id, xxhash64 of the text and the statistics of each whole text as columns s0, s1, ..."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = [], []
-            for doc, text in texts_of(batch):
-                ids.append(doc)
-                rows.append(statistics(text))
+            rows = [statistics(text) for text in batch.column(2).to_pylist()]
             columns = np.array(rows, dtype=float).reshape(-1, len(NAMES)).T
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), *(pa.array(c) for c in columns)], ["doc_id", *_COLUMNS]
+                [*batch.columns[:2], *(pa.array(c) for c in columns)], ["doc_id", "text_hash", *_COLUMNS]
             )
 
-    schema = "doc_id long, " + ", ".join(f"{c} double" for c in _COLUMNS)
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column)).mapInArrow(
-        describe, schema
-    )
+    schema = "doc_id long, text_hash long, " + ", ".join(f"{c} double" for c in _COLUMNS)
+    return docs.select(
+        F.col(id_column).cast("long").alias("doc_id"),
+        F.xxhash64(text_column).alias("text_hash"),
+        F.col(text_column).cast("string").alias("text"),
+    ).mapInArrow(describe, schema)
 
 
 _COLUMNS = [f"s{k}" for k in range(len(NAMES))]
@@ -231,7 +229,7 @@ def score(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     label: str = "quality",
 ) -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted for every row of `docs`.
+    """doc_id, held_out, score (0 to 1), predicted, text_hash for every row of `docs`.
 
     Only the text is an input of a score; null counts as empty, and an empty text gets the score of
     its (all zero) statistics. A null id is not held out. Other columns are not read.
@@ -241,15 +239,16 @@ def score(
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = scorer.scores(_matrix(batch, 1)) if batch.num_rows else np.empty(0)
+            got = scorer.scores(_matrix(batch, 2)) if batch.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(got, pa.float64())], ["doc_id", "score"]
+                [*batch.columns[:2], pa.array(got, pa.float64())], ["doc_id", "text_hash", "score"]
             )
 
-    out = stored.mapInArrow(scored, "doc_id long, score double")
+    out = stored.mapInArrow(scored, "doc_id long, text_hash long, score double")
     return out.select(
         "doc_id",
         F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        "text_hash",
     )
