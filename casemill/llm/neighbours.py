@@ -19,8 +19,10 @@ QUERY_EVERY = 20
 #: Random projections of a block, and the share of them that a vector must collide in.
 PROJECTIONS = 48
 COLLISION_SHARE = 0.9
-#: Verified vectors of a block after which windows stop to grow: the neighbours wanted and a share.
-VERIFIED_SHARE = 0.3
+#: Verified vectors of a block after which windows stop to grow: some times the neighbours wanted
+#: and a share of the block.
+VERIFIED_TIMES = 8
+VERIFIED_SHARE = 0.28
 #: First half width of a window in standard deviations of its projection, and its growth.
 FIRST_WINDOW = 1.5
 GROWTH = 1.15
@@ -51,7 +53,7 @@ class SortedProjections:
         # on the sphere of the lifted vectors
         centre = (queries * (self.length / size)[:, None]) @ self.lines[:-1]
         missing = PROJECTIONS - int(np.ceil(COLLISION_SHARE * PROJECTIONS))
-        wanted = min(n, nearest + 1 + int(VERIFIED_SHARE * n))
+        wanted = min(n, 1 + VERIFIED_TIMES * nearest + int(VERIFIED_SHARE * n))
         half, open_ = FIRST_WINDOW * self.length, np.arange(len(queries))
         out = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
         while len(open_):
