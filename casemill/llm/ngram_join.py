@@ -11,10 +11,11 @@ two linked sets must share an element:
 
 Lists are sorted by position (n-grams before the element). Where the next position is further away
 than linked sets can differ, a new block begins, and pairs of different blocks are skipped unseen.
-Within a block every set is compared with the hub, the set that shares the most list places, which
-gives |hub - set| for all of them. The answers of the other pairs are derived from the hub's:
-|x - y| lies between the difference and the sum of their distances to it, and only pairs in
-different groups that these bounds leave open are compared themselves.
+Sets that share large blocks are a family. Each is compared with the family's hub alone, the set that
+shares the most places; the answers of all others are derived from the hub's: what two sets differ
+in follows from what each differs in from the hub, and only sets whose small differences share a
+rare n-gram are looked at. Pairs of small blocks are compared themselves unless they are in one
+group already or their distances from the hub exclude a link.
 """
 
 from __future__ import annotations
@@ -41,6 +42,10 @@ PERCENT = 85
 PART_LEAST = 48
 #: Largest size of a level over its smallest; all sets of a level are cut into as many parts.
 LEVEL_RATIO = 1.25
+#: Pairs of blocks of up to so many sets are compared by themselves, not by way of a hub.
+SMALL_BLOCK = 8
+#: Copies of a hub in its join with its family.
+SALTS = 8
 #: Keys of sets that a task remembers, so as to index copies once.
 MOST_SEEN = 100_000
 
@@ -244,6 +249,114 @@ def _compared(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
     return sets.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, different long")
 
 
+def _hashes(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """row, hashes (the set) of the wanted rows, from their texts."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [shingles(t, words).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(values, pa.binary())], ["row", "hashes"]
+            )
+
+    # ids may be null; they spread the copies of a text over the tasks
+    id_ = F.coalesce(F.col("doc_id"), F.lit(0))
+    found = (
+        _documents(docs, "doc_id", "text").withColumn("id", id_)
+        .join(wanted.withColumn("id", id_).drop("doc_id"), ["id", "text_hash"])
+        .dropDuplicates(["row"])
+        .select("row", "text")
+    )
+    return found.mapInArrow(hashed, "row long, hashes binary")
+
+
+def _deltas(in_family: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
+    """Every row of a family against its hub, the row that shares the most places of large blocks.
+
+    family, row, n, hub, near (linked with the hub), delta (what is in one of the two sets alone;
+    the hub's own n-grams as their complement) and added (how many are the row's, listed first).
+    """
+    hubs = in_family.groupBy("family").agg(
+        F.max(F.struct("weight", F.negative("row").alias("row"))).alias("hub")
+    )
+    hubs = hubs.select("family", F.negative("hub.row").alias("hub"))
+    hub_sets = hubs.join(hashes.withColumnRenamed("row", "hub"), "hub").select(
+        "family", "hub", F.col("hashes").alias("hub_hashes"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    )
+    salted = in_family.select("family", "row", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
+    rows = salted.join(hashes, "row").join(hub_sets, ["family", "salt"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, near, added, delta = [], [], [], []
+            for x, h in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                x, h = np.frombuffer(x, "<u8"), np.frombuffer(h, "<u8")
+                own = np.setdiff1d(x, h, assume_unique=True)
+                lost = np.setdiff1d(h, x, assume_unique=True)
+                sizes.append(len(x))
+                added.append(len(own))
+                near.append(len(own) + len(lost) <= most_different(len(x), len(h), percent))
+                delta.append(np.r_[own, ~lost].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:2],
+                    pa.array(sizes, pa.int64()),
+                    batch.column(2),
+                    pa.array(near, pa.bool_()),
+                    pa.array(added, pa.int64()),
+                    pa.array(delta, pa.list_(pa.int64())),
+                ],
+                ["family", "row", "n", "hub", "near", "added", "delta"],
+            )
+
+    return rows.select("family", "row", "hub", "hashes", "hub_hashes").mapInArrow(
+        compare, "family long, row long, n long, hub long, near boolean, added long, delta array<long>"
+    )
+
+
+def _derived(deltas: DataFrame, percent: int) -> DataFrame:
+    """a, b: linked pairs of a family of which one at least is not linked with the hub.
+
+    For two sets x, y with deltas X, Y to the hub, |x - y| = |X| + |Y| - 2 |X and Y|. So if one is
+    not linked with the hub and the two are linked, their deltas must share an element, and one of
+    a prefix as long as linked sets may differ. Elements that are rare in the family come first.
+    """
+    prefix = F.floor(F.col("n") * (100 - percent) / F.lit(percent)) + 1
+    far = F.size("delta")
+    listed = deltas.where(far > 0).select(
+        "family", "row", "added", (far - F.col("added")).alias("lost"), prefix.alias("prefix"),
+        F.posexplode(F.when(F.col("added") >= prefix, F.slice("delta", F.lit(1), F.col("added").cast("int"))).otherwise(F.col("delta"))).alias("at", "element"),
+    )
+    of_element, of_row = Window.partitionBy("family", "element"), Window.partitionBy("row", "of_hub")
+    ranked = (
+        listed.withColumn("rows", F.count("*").over(of_element))
+        .where("rows > 1")
+        .withColumn("of_hub", F.col("at") >= F.col("added"))
+        .withColumn("common", F.count("*").over(of_row))
+        .withColumn("place", F.row_number().over(of_row.orderBy("rows", "element")) - 1)
+    )
+    before = F.when(F.col("of_hub"), F.col("added") + F.col("lost") - F.col("common")).otherwise(
+        F.col("added") - F.col("common")
+    )
+    postings = ranked.where(before + F.col("place") < F.col("prefix")).select("row", "element")
+    sets = postings.join(deltas.select("family", "row", "n", "near", "delta"), "row")
+    side = lambda p: sets.select(
+        "family", "element", F.col("row").alias(p), F.col("n").alias(f"{p}_n"),
+        F.col("near").alias(f"{p}_near"), F.col("delta").alias(f"{p}_delta"),
+    )
+    a, b = F.size("a_delta"), F.size("b_delta")
+    bound = _most_different(F.col("a_n"), F.col("b_n"), percent)
+    linked = (
+        ~F.col("a_near")
+        & (F.col("b_near") | (F.col("a") < F.col("b")))
+        & (F.abs(a - b) <= bound)
+        & (a + b - 2 * F.size(F.array_intersect("a_delta", "b_delta")) <= bound)
+    )
+    left, right = side("a"), side("b")
+    on = (left["family"] == right["family"]) & (left["element"] == right["element"])
+    return left.join(right, on & linked).select("a", "b").distinct()
+
+
 def link(
     docs: DataFrame, words: int = NGRAM_WORDS, percent: int = PERCENT, id_column: str = "doc_id",
     text_column: str = "text",
@@ -298,71 +411,49 @@ def link(
     several = written(several, "blocks")
 
     # the sets behind the listed rows, from their texts again
-    weight = several.groupBy("row").agg(F.sum("shared").alias("weight"))
-    wanted = weight.select("row").join(holders.select("row", "doc_id", "text_hash"), "row")
-    texts = _documents(docs, "doc_id", "text")
-    same_id = F.coalesce(F.col("doc_id"), F.lit(0))
-    found = (
-        texts.withColumn("k", same_id)
-        .join(wanted.withColumn("k", same_id).drop("doc_id"), ["k", "text_hash"])
-        .dropDuplicates(["row"])
-        .select("row", "text")
+    wanted = several.select("row").distinct().join(holders.select("row", "doc_id", "text_hash"), "row")
+    hashes = written(_hashes(docs, wanted, words), "hashes")
+
+    # large blocks: families, each compared with its hub; the rest follows from these answers
+    large = several.where(F.col("shared") > SMALL_BLOCK)
+    least = F.min("row").over(in_block)
+    chained = large.select("row", least.alias("least")).where("row <> least")
+    families = components(chained.select(F.col("row").alias("a"), F.col("least").alias("b")))
+    weight = large.groupBy("row").agg(F.sum("shared").alias("weight"))
+    in_family = families.join(weight, families["node"] == weight["row"]).select(
+        F.col("component").alias("family"), "row", "weight"
     )
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [shingles(t, words).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values, pa.binary())], ["row", "hashes"]
-            )
-
-    hashes = written(found.mapInArrow(hashed, "row long, hashes binary"), "hashes")
-
-    # every set against the hub of its block
-    hub = F.max(F.struct("weight", F.negative("row").alias("row"), "places", "n")).over(in_block)
-    starred = several.join(weight, "row").withColumn("hub", hub).select(
-        "elements", "block", F.negative("hub.row").alias("a"), F.col("hub.n").alias("a_n"),
-        F.col("hub.places").alias("a_place"), F.col("row").alias("b"), F.col("n").alias("b_n"),
-        F.col("places").alias("b_place"),
-    )
-    starred = written(starred, "stars")
-    pairs = starred.where("a <> b").where(_can_link(percent)).select("a", "a_n", "b", "b_n").distinct()
-    pairs = written(pairs, "pairs")
-    by_hub = written(
-        _compared(pairs.select("a", "b"), hashes).join(pairs, ["a", "b"]), "distances"
-    )
-    close = F.col("different") <= _most_different(F.col("a_n"), F.col("b_n"), percent)
-    links = by_hub.where(close).select("a", "b")
-    groups = components(links)
-
-    # what the hubs leave open: pairs of different groups within a block
+    deltas = written(_deltas(in_family, hashes, percent), "deltas")
+    near_hub = deltas.where("near and row <> hub").select(F.col("row").alias("a"), F.col("hub").alias("b"))
+    derived = written(_derived(deltas, percent), "derived")
+    groups = components(near_hub.union(derived))
+
+    # small blocks: pairs that are in different groups so far and not apart by their distances
+    small = several.where(F.col("shared") <= SMALL_BLOCK)
+    known = deltas.select("row", "family", F.size("delta").alias("far"))
     places = (
-        starred.join(groups.withColumnRenamed("node", "b"), "b", "left")
-        .join(by_hub.select("a", "b", "different"), ["a", "b"], "left")
-        .withColumn("component", F.coalesce("component", "b"))
-        .withColumn("different", F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("different")))
-        .select("elements", "block", "a", "b", "b_n", "b_place", "component", "different")
+        small.join(groups.withColumnRenamed("node", "row"), "row", "left")
+        .join(known, "row", "left")
+        .withColumn("component", F.coalesce("component", "row"))
     )
-    mixed = (F.min("component").over(in_block) != F.max("component").over(in_block)).alias("mixed")
-    open_blocks = written(places.select("*", mixed).where("mixed").drop("mixed"), "open")
-    side = lambda p: open_blocks.select(
-        "elements", "block", F.col("b").alias(p), F.col("b_n").alias(f"{p}_n"),
-        F.col("b_place").alias(f"{p}_place"), F.col("component").alias(f"{p}_in"),
-        F.col("different").alias(f"{p}_far"), F.col("a").alias(f"{p}_hub"),
+    side = lambda p: places.select(
+        "elements", "block", F.col("row").alias(p), F.col("n").alias(f"{p}_n"),
+        F.col("places").alias(f"{p}_place"), F.col("component").alias(f"{p}_in"),
+        F.col("family").alias(f"{p}_family"), F.col("far").alias(f"{p}_far"),
     )
-    apart = F.abs(F.col("a_far") - F.col("b_far"))  # no less than that lies between the two
+    bound = _most_different(F.col("a_n"), F.col("b_n"), percent)
+    apart = (F.col("a_family") == F.col("b_family")) & (F.abs(F.col("a_far") - F.col("b_far")) > bound)
     rest = (
         side("a")
         .join(side("b"), ["elements", "block"])
         .where("a < b and a_in <> b_in")
-        .where("a <> a_hub and b <> a_hub")
         .where(_can_link(percent))
-        .where(F.coalesce(apart, F.lit(0)) <= _most_different(F.col("a_n"), F.col("b_n"), percent))
+        .where(~F.coalesce(apart, F.lit(False)))
         .select("a", "a_n", "b", "b_n")
         .distinct()
     )
     rest = written(rest, "rest")
-    late = _compared(rest.select("a", "b"), hashes).join(rest, ["a", "b"]).where(close)
+    late = _compared(rest.select("a", "b"), hashes).join(rest, ["a", "b"]).where(F.col("different") <= bound)
     groups = components(
         written(late.select("a", "b"), "links").union(
             groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
