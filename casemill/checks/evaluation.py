@@ -325,20 +325,16 @@ def _rated(spark: SparkSession, folder: str) -> DataFrame:
     return rated.select("doc_id", "text", "lang", "quality", "toxic")
 
 
-def _quick() -> learn.LogisticRegression:
-    return learn.lasso(1000, max_iter=20)
-
-
 @check("ml_train_class")
 def train_class(spark: SparkSession, folder: str) -> DataFrame:
-    done = training.train(_rated(spark, folder), "text", "quality", "doc_id", "binary", base=_quick())
+    done = training.train(_rated(spark, folder), "text", "quality", "doc_id", "binary")
     return done.report
 
 
 @check("ml_train_multiclass")
 def train_multiclass(spark: SparkSession, folder: str) -> DataFrame:
     done = training.train(
-        _rated(spark, folder), "text", "lang", "doc_id", "multiclass", weighted=True, max_iter=20
+        _rated(spark, folder), "text", "lang", "doc_id", "multiclass", weighted=True
     )
     return done.report
 
@@ -352,36 +348,35 @@ def _flags(spark: SparkSession, folder: str) -> DataFrame:
 
 @check("ml_train_multilabel")
 def train_multilabel(spark: SparkSession, folder: str) -> DataFrame:
-    done = training.train(_flags(spark, folder), "text", "y", "doc_id", "multilabel", base=_quick())
+    done = training.train(_flags(spark, folder), "text", "y", "doc_id", "multilabel")
     return done.validation.select("doc_id", F.array_join("y", ",").alias("y"), "prediction")
 
 
 @check("ml_train_cv")
 def train_cv(spark: SparkSession, folder: str) -> DataFrame:
     rows = _rated(spark, folder)
-    base = learn.cross_validated(1000, 3, (0.1, 1.0), max_iter=10)
-    done = training.train(rows, "text", "quality", "doc_id", "binary", weighted=True, base=base)
+    done = training.train(rows, "text", "quality", "doc_id", "binary", weighted=True, folds=5)
     return done.report
 
 
 @check("ml_train_entry")
 def train_entry(spark: SparkSession, folder: str) -> DataFrame:
     done = training.train(
-        _rated(spark, folder), "text", "toxic", "doc_id", "binary", "bag_of_words", 0.2, base=_quick()
+        _rated(spark, folder), "text", "toxic", "doc_id", "binary", "bag_of_words", 0.2
     )
     return done.validation.select("doc_id", "y", "prediction")
 
 
 @check("ml_predict")
 def predict(spark: SparkSession, folder: str) -> DataFrame:
-    model = learn.train_classes(_rated(spark, folder), "text", "lang", max_iter=20)
+    model = learn.train_classes(_rated(spark, folder), "text", "lang")
     found = learn.predict(model, table(spark, folder, "documents"), "text", "doc_id")
     return found.withColumn("is_english", learn.yes_no(F.col("prediction"), "en"))
 
 
 @check("ml_save_load")
 def save_load(spark: SparkSession, folder: str) -> DataFrame:
-    model = learn.train_classes(_rated(spark, folder), "text", "quality", base=_quick())
+    model = learn.train_classes(_rated(spark, folder), "text", "quality")
     path = scratch_dir(spark, "model")
     model.save(path)
     return learn.predict(learn.TextModel.load(path), table(spark, folder, "documents"), "text", "doc_id")

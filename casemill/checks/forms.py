@@ -616,7 +616,7 @@ _NO_LIST = "path <> 'intervention_automatic'"
     "agg_form_conflicts",
     f"""
     WITH o AS (SELECT study, path, value, count(*) AS n_forms FROM (
-                 SELECT study, path, value FROM ({_leaf_rows()}) WHERE path NOT LIKE '%n_ganglions_lvl%')
+                 SELECT study, path, value FROM ({_leaf_rows()}))
                GROUP BY ALL)
     SELECT study, path, value, n_forms, count(*) OVER (PARTITION BY study, path) AS n_options FROM o
     QUALIFY count(*) OVER (PARTITION BY study, path) > 1""",
@@ -624,9 +624,7 @@ _NO_LIST = "path <> 'intervention_automatic'"
 def form_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     leaves = rollup.form_leaves(_parsed(spark, folder), "form", "study")
     found = rollup.conflicts(leaves, "study").filter(_NO_LIST)
-    return found.filter("path NOT LIKE '%n_ganglions_lvl%'").select(
-        "study", "path", "value", "n_forms", "n_options"
-    )
+    return found.select("study", "path", "value", "n_forms", "n_options")
 
 
 # the whole nested group of the last form that has any of its fields replaces earlier ones
@@ -641,12 +639,7 @@ _MERGED = f"""
 @check("agg_form_merge", _MERGED)
 def form_merge(spark: SparkSession, folder: str) -> DataFrame:
     merged = rollup.merge_forms(_parsed(spark, folder), ["layout", "entry_no"], "form", "study")
-    leaves = rollup.form_leaves(merged, "form", "study").filter(_NO_LIST)
-    levels = leaves.filter("path LIKE '%n_ganglions_lvl'").select(
-        "study", "path", F.explode(F.from_json("value", "map<string,string>")).alias("k", "value")
-    )
-    levels = levels.select("study", F.concat_ws(".", "path", "k").alias("path"), "value")
-    return leaves.filter("path NOT LIKE '%n_ganglions_lvl'").unionByName(levels)
+    return rollup.form_leaves(merged, "form", "study").filter(_NO_LIST)
 
 
 _VALID = f"""
@@ -688,6 +681,15 @@ def _processed(spark: SparkSession, folder: str) -> preprocess.Processed:
     )
 
 
+@check("pre_yearly")
+def yearly(spark: SparkSession, folder: str) -> DataFrame:
+    """Studies by year; the derived reports name a study in one year each."""
+    done = preprocess.process_yearly(
+        _reports(spark, folder), _X, _manual(spark), ["extra", "notes"], study="study"
+    )
+    return done.studies.select("year", "study", *(F.md5(c).alias(c) for c in _X), "valid")
+
+
 # --- labels -----------------------------------------------------------------------------------
 
 

@@ -32,10 +32,10 @@ def yearly_extracts(spark: SparkSession, folder: str) -> DataFrame:
     return readers.yearly_extracts(spark, f"{base}/*.csv", _ORDERS)
 
 
-@check("src_parquet", "SELECT doc_id, lang, source, n_chars FROM documents")
+@check("src_parquet", "SELECT doc_id, md5(text) AS digest, lang, source, n_chars FROM documents")
 def parquet(spark: SparkSession, folder: str) -> DataFrame:
     rows = readers.parquet(spark, f"{folder}/documents.parquet")
-    return rows.select("doc_id", "lang", "source", "n_chars")
+    return rows.select("doc_id", F.md5("text").alias("digest"), "lang", "source", "n_chars")
 
 
 _TURNS_SQL = "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations"
@@ -195,14 +195,16 @@ def error_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @check(
     "prj_rename_clean",
-    """SELECT doc_id AS x_numero_de_documento, lang AS x_idioma, source AS "x_origen_(_fuente_)"
-       FROM documents""",
+    """SELECT doc_id AS x_numero_de_documento, md5(text) AS x_texto, lang AS x_idioma,
+              source AS "x_origen_(_fuente_)", n_chars AS x_letras FROM documents""",
 )
 def rename_clean(spark: SparkSession, folder: str) -> DataFrame:
     titled = table(spark, folder, "documents").select(
         F.col("doc_id").alias("Número de documento"),
+        F.md5("text").alias("Texto"),
         F.col("lang").alias("Idioma"),
         F.col("source").alias("Origen, (fuente)"),
+        F.col("n_chars").alias("Letras"),
     )
     return filters.rename_clean(titled, titled.columns)
 
@@ -531,11 +533,11 @@ def dedup(spark: SparkSession, folder: str) -> DataFrame:
     """
     SELECT md5(x) AS digest, y FROM (
       SELECT text AS x, 'cdi' AS y FROM benchmark
-      UNION ALL SELECT text, source FROM documents WHERE lang = 'es')""",
+      UNION ALL SELECT text, source FROM documents)""",
 )
 def union_labels(spark: SparkSession, folder: str) -> DataFrame:
     manual = table(spark, folder, "benchmark").select(F.col("text").alias("x"), F.lit("cdi").alias("y"))
-    found = table(spark, folder, "documents").filter("lang = 'es'")
+    found = table(spark, folder, "documents")
     both = manual.unionByName(found.select(F.col("text").alias("x"), F.col("source").alias("y")))
     return both.select(F.md5("x").alias("digest"), "y")
 

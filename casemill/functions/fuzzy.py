@@ -16,7 +16,6 @@ from casemill import constants as K
 from casemill.functions import text as T
 
 Scorer = Callable[[Column, Column], Column]
-MAX_CHOICES = 10_000
 
 
 def processed(c: Column) -> Column:
@@ -108,8 +107,6 @@ def best_choice(
     key: Column, choices: Sequence[str], scorer: Scorer | None = None
 ) -> Column:
     """Best of `choices` as struct(score, match, choice_order); ties go to the earlier choice."""
-    if len(choices) > MAX_CHOICES:
-        raise ValueError(f"choices must be a fixed vocabulary of at most {MAX_CHOICES} entries")
     if scorer is None:
         options = F.expr(
             _array(
@@ -152,9 +149,10 @@ def _array(items: Iterable[str]) -> str:
 
 
 def _clean_words(choice: str) -> list[str]:
-    """Words of a fixed spelling; its accents, case and punctuation folded on the driver."""
-    folded = unicodedata.normalize("NFD", choice.lower()).encode("ascii", "ignore").decode()
-    return "".join(ch if ch.isalnum() else " " for ch in folded).split()
+    """Words of a fixed spelling, cleaned on the driver as `clean_hard` cleans the keys."""
+    plain = "".join(ch if ch.isalnum() or ch == "_" else " " for ch in choice).lower().strip()
+    folded = unicodedata.normalize("NFD", plain).encode("ascii", "ignore").decode()
+    return folded.replace(" mas ", " + ").replace(" y ", " + ").split()
 
 
 def fuzzy_labels(

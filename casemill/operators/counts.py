@@ -11,8 +11,9 @@ from casemill.functions import text as T
 from casemill.operators import joins
 from casemill.session import for_costly_rows
 
-MAX_BROADCAST_LABELS = 100_000
 SALTS = 256
+#: Copies of the kept labels in their join: the rows of a frequent label spread over as many tasks.
+LABEL_SALTS = 32
 
 
 def value_counts(df: DataFrame, label: str) -> DataFrame:
@@ -58,10 +59,11 @@ def top_labels(df: DataFrame, label: str, k: int) -> DataFrame:
 
 def topk_other(df: DataFrame, label: str, k: int, other: str = K.OTHER) -> DataFrame:
     """Keep the k most frequent labels, the rest becomes `other`."""
-    top = top_labels(df, label, k).select(F.col("label").alias("_top"))
-    if k <= MAX_BROADCAST_LABELS:  # k bounds the broadcast table
-        top = F.broadcast(top)
-    joined = df.join(top, F.col(label) == F.col("_top"), "left")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1)))
+    top = top_labels(df, label, k).select(F.col("label").alias("_top"), copies.alias("_copy"))
+    salt = F.pmod(F.xxhash64(*[f"`{c}`" for c in df.columns]), F.lit(LABEL_SALTS))
+    on = (F.col(label) == F.col("_top")) & (F.col("_salt") == F.col("_copy"))
+    joined = df.withColumn("_salt", salt).join(top, on, "left").drop("_salt", "_copy")
     kept = F.when(F.col(label).isNull() | F.col("_top").isNotNull(), F.col(label)).otherwise(other)
     return joined.withColumn(label, kept).drop("_top")
 

@@ -226,8 +226,10 @@ def set_errors(df: DataFrame, x: str, true: str, pred: str) -> DataFrame:
 def roc_thresholds(scores: DataFrame) -> DataFrame:
     """(label, score, truth) to label, score, tp, fp per distinct score with running sums.
 
-    Input is first counted per distinct score; running sums go through score buckets.
+    Input is first counted per distinct score; running sums go through score buckets. Rows without
+    a score are left out. A label of one class has null rates and a null area.
     """
+    scores = scores.filter(F.col("score").isNotNull())
     counted = scores.groupBy("label", "score").agg(
         F.sum("truth").alias("tp"), F.sum(1 - F.col("truth")).alias("fp")
     )
@@ -242,7 +244,7 @@ def auc(scores: DataFrame) -> DataFrame:
     # a threshold adds fp wide and between cum_tp - tp and cum_tp high
     area = F.sum(F.col("fp") * (F.col("cum_tp") - F.col("tp") / 2))
     return steps.groupBy("label").agg(
-        (area / (F.sum("tp") * F.sum("fp"))).alias("auc")
+        F.try_divide(area, (F.sum("tp") * F.sum("fp")).cast("double")).alias("auc")
     )
 
 
@@ -280,14 +282,14 @@ def roc_points(scores: DataFrame, drop_intermediate: bool = True) -> DataFrame:
         first = F.col("_first_bucket") & (F.col("_nth") == 1)
         turns = following.isNull() | (following != F.struct("tp", "fp"))
         steps = steps.filter(first | turns)
-    totals = scores.groupBy("label").agg(
+    totals = scores.filter(F.col("score").isNotNull()).groupBy("label").agg(
         F.sum("truth").alias("_p"), F.sum(1 - F.col("truth")).alias("_n")
     )
     points = steps.join(totals, "label").select(
         "label",
         "score",
-        (F.col("cum_fp") / F.col("_n")).alias("fpr"),
-        (F.col("cum_tp") / F.col("_p")).alias("tpr"),
+        F.try_divide(F.col("cum_fp").cast("double"), F.col("_n").cast("double")).alias("fpr"),
+        F.try_divide(F.col("cum_tp").cast("double"), F.col("_p").cast("double")).alias("tpr"),
     )
     origin = totals.select(
         "label", F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("fpr"),
@@ -298,7 +300,7 @@ def roc_points(scores: DataFrame, drop_intermediate: bool = True) -> DataFrame:
 
 def roc_macro(scores: DataFrame, labels: Sequence[str]) -> DataFrame:
     """fpr, tpr: mean of the label curves, each interpolated on the union of their fpr values."""
-    points = roc_points(scores)
+    points = roc_points(scores).filter("fpr IS NOT NULL AND tpr IS NOT NULL")
     # vertical pieces: the curve leaves a position at its highest and is entered at its lowest tpr
     edges = points.groupBy("label", "fpr").agg(F.min("tpr").alias("_in"), F.max("tpr").alias("_out"))
     grid = points.select("fpr").distinct()
@@ -361,7 +363,7 @@ def entity_scores(df: DataFrame, true: str, pred: str, key: str) -> DataFrame:
     """Entity precision, recall, f1 (exact span and type) and token accuracy."""
     same = F.size(F.filter(F.arrays_zip(F.col(true).alias("t"), F.col(pred).alias("p")),
                            lambda x: x["t"] == x["p"]))
-    tokens = df.agg(F.sum(same) / F.sum(F.size(true))).scalar()
+    tokens = df.agg(F.try_divide(F.sum(same), F.sum(F.size(true)))).scalar()
     both = (
         entity_rows(df, true, key)
         .withColumn("_t", F.lit(1))

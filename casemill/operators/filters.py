@@ -23,7 +23,7 @@ def valid_only(df: DataFrame, flag: str = "valid") -> DataFrame:
 
 
 def without_studies(
-    df: DataFrame, denied: Iterable[str] | DataFrame = tuple(K.INVALID_STUDIES), study: str = K.STUDY
+    df: DataFrame, denied: Iterable[str] | DataFrame, study: str = K.STUDY
 ) -> DataFrame:
     """Drop denied studies, given as a short list or as a table with the study column."""
     if isinstance(denied, DataFrame):

@@ -184,14 +184,16 @@ def both_layouts(df: DataFrame, form_text: str, manual: DataFrame | None = None)
     return wide.selectExpr(*kept, f"inline(array({form(1)}, {form(2)}))")
 
 
-def leaf_paths(kind: ST.DataType, at: str, path: str = "") -> Iterator[tuple[str, str, bool]]:
-    """(dotted path, SQL text, is a list or map) of every leaf of a nested column."""
+def leaf_paths(
+    kind: ST.DataType, at: str, path: str = ""
+) -> Iterator[tuple[str, str, ST.DataType]]:
+    """(dotted path, SQL text, type) of every leaf of a nested column; lists and maps are leaves."""
     if isinstance(kind, ST.StructType):
         for f in kind.fields:
             inner = f"{path}.{f.name}" if path else f.name
             yield from leaf_paths(f.dataType, f"{at}.`{f.name}`", inner)
     else:
-        yield path, at, isinstance(kind, (ST.ArrayType, ST.MapType))
+        yield path, at, kind
 
 
 def flatten(df: DataFrame, form: str = "form", keep: Sequence[str] = (K.STUDY,)) -> DataFrame:

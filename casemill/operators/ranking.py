@@ -68,7 +68,7 @@ def value_bucket(df: DataFrame, column: str, buckets: int = 512, out: str = "_bu
     """
     shares = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.approxQuantile(column, shares, 0.5 / buckets)))
-    splits = [float("-inf"), *cuts, float("inf")]
+    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
     return Bucketizer(splits=splits, inputCol=column, outputCol=out).transform(df)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from casemill import constants as K
 from casemill.functions import forms
@@ -101,7 +102,8 @@ def study_forms(
         .groupBy(study, "value")
         .agg(F.min(F.struct("_at", seq)).alias("_first"))
     )
-    bucket = F.col("_first._at") * (1 << 32) + ranking.sequence_bucket(F.col(f"_first.{seq}"))
+    at_bucket = ranking.sequence_bucket(F.col(f"_first.{seq}")).alias("rows")
+    bucket = F.struct(F.col("_first._at").alias("column"), at_bucket)
     return ranking.number_rows(found, [study], bucket, ["_first"], "entry_no").drop("_first")
 
 
@@ -111,13 +113,22 @@ def form_text(study_form_rows: DataFrame, study: str = K.STUDY) -> DataFrame:
 
 
 def form_leaves(parsed: DataFrame, form: str = "form", study: str = K.STUDY) -> DataFrame:
-    """Every present leaf of the parsed forms: study, path, value (lists as JSON text)."""
-    rows = ", ".join(
-        f"named_struct('path', '{path}', 'value', "
-        + (f"to_json({x}))" if is_list else f"CAST({x} AS STRING))")
-        for path, x, is_list in leaf_paths(parsed.schema[form].dataType, f"`{form}`")
-    )
-    leaves = parsed.select(study, F.expr(f"inline(array({rows}))"))
+    """Every present leaf of the parsed forms: study, path, value.
+
+    Lists are one leaf, as JSON text; a map has one leaf for each of its keys, under the key's name.
+    """
+    plain, maps = [], []
+    for path, x, kind in leaf_paths(parsed.schema[form].dataType, f"`{form}`"):
+        if isinstance(kind, ST.MapType):
+            maps.append(
+                f"transform(coalesce(map_entries({x}), array()), e -> named_struct("
+                f"'path', concat('{path}.', e.key), 'value', CAST(e.value AS STRING)))"
+            )
+        else:
+            text = f"to_json({x})" if isinstance(kind, ST.ArrayType) else f"CAST({x} AS STRING)"
+            plain.append(f"named_struct('path', '{path}', 'value', {text})")
+    rows = f"concat({', '.join([f'array({", ".join(plain)})', *maps])})"
+    leaves = parsed.select(study, F.expr(f"inline({rows})"))
     return leaves.filter(F.col("value").isNotNull())
 
 
@@ -135,10 +146,8 @@ def raise_on_conflict(leaves: DataFrame, study: str = K.STUDY) -> None:
     """Strict mode: fail with the first conflict."""
     found = conflicts(leaves, study).orderBy(study, "path", "value").limit(2).collect()
     if found:
-        lines = "".join(f"\n{i:2d})\t{r['value']!r}" for i, r in enumerate(found, 1))
-        raise ValueError(
-            f"Study: {found[0][study]}\nInconsistencies found in field {found[0]['path']!r}:{lines}"
-        )
+        values = " / ".join(repr(r["value"]) for r in found)
+        raise ValueError(f"forms of study {found[0][study]} disagree on {found[0]['path']}: {values}")
 
 
 def merge_forms(

@@ -27,7 +27,7 @@ def process_reports(
     form_columns: Sequence[str] = tuple(K.FORM_COLUMNS),
     study: str = K.STUDY,
     seq: str = "row_seq",
-    denied: Sequence[str] | DataFrame = tuple(K.INVALID_STUDIES),
+    denied: Sequence[str] | DataFrame = (),
     strict: bool = False,
 ) -> Processed:
     """Roll rows up to studies, parse each distinct form of a study once, merge and validate.
@@ -52,8 +52,18 @@ def process_reports(
     return Processed(studies, merged, rollup.conflicts(leaves, study))
 
 
-def process_yearly(rows: DataFrame, *args, study: str = K.STUDY, **options) -> Processed:
-    """`process_reports` per year: a study that appears in two years gives one row for each."""
+def process_yearly(
+    rows: DataFrame,
+    *args,
+    study: str = K.STUDY,
+    denied: Sequence[str] | DataFrame = (),
+    **options,
+) -> Processed:
+    """`process_reports` per year: a study that appears in two years gives one row for each.
+
+    `denied` names plain studies. Rows without a study are left out; a null year is a year.
+    """
+    rows = filters.without_studies(rows, denied, study).filter(F.col(study).isNotNull())
     by_year = rows.withColumn("_study", F.struct("year", study)).drop(study)
     done = process_reports(by_year.withColumnRenamed("_study", study), *args, study=study, **options)
 

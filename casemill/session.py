@@ -30,12 +30,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when a scan has fewer parts than that (small files, one row group).
+    """Rows dealt evenly over tasks, for costly work per row after a scan of few or uneven files.
 
-    Meant for costly work per row. A large table has enough parts and is returned as it is.
+    A hint in the plan: the runtime sizes the parts by what is there, and no job runs here.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.hint("rebalance")
 
 
 def for_costly_rows(df: DataFrame) -> DataFrame:

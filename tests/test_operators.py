@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from casemill.functions import bio
 from casemill.functions import text as T
-from casemill.operators import counts, evaluate, filters, forms, joins, labels, ranking, rollup, samples
+from casemill.operators import (
+    counts, evaluate, filters, forms, joins, labels, learn, ranking, rollup, samples,
+)
 from casemill.plans import preprocess, training
 
 
@@ -84,7 +86,7 @@ def test_conflicts(spark):
     leaves = rollup.form_leaves(rows, "form", "study")
     found = {(r["study"], r["path"], r["value"]) for r in rollup.conflicts(leaves, "study").collect()}
     assert found == {("s", "b", "1"), ("s", "b", "3")}
-    with pytest.raises(ValueError, match="Inconsistencies found in field 'b'"):
+    with pytest.raises(ValueError, match="disagree on b"):
         rollup.raise_on_conflict(leaves, "study")
 
 
@@ -200,7 +202,7 @@ def test_process_reports_end_to_end(spark):
         "row_seq int, Estudio string, Macro string, `Texto del complementario` string, `Notas (Muestra)` string",
     )
     sheet = spark.createDataFrame([("tumorectomia + bsgc", ["bsgc", "tumorectomia"])], "x string, y array<string>")
-    done = preprocess.process_reports(rows, ["Macro"], sheet, strict=True)
+    done = preprocess.process_reports(rows, ["Macro"], sheet, strict=True, denied=["B17-10176"])
     got = {r["Estudio"]: r for r in done.studies.collect()}
     assert set(got) == {"B1", "B2"}
     assert got["B1"]["valid"] and not got["B2"]["valid"]
@@ -212,7 +214,79 @@ def test_process_reports_end_to_end(spark):
 
 def test_train_checks_arguments(spark):
     rows = spark.createDataFrame([("a", "x", "y")], "k string, x string, y string")
-    with pytest.raises(ValueError, match="valid problem type"):
+    with pytest.raises(ValueError, match="unknown problem"):
         training.train(rows, "x", "y", "k", "regression")
-    with pytest.raises(ValueError, match="lower than 7"):
-        training.histological_type(rows, rows, 8)
+
+
+def test_conflicts_of_maps_are_per_key(spark):
+    rows = spark.createDataFrame(
+        [("s", ({"level_1": "2"},)), ("s", ({"level_1": "2", "level_2": "1"},)), ("t", ({"level_1": "1"},)),
+         ("t", ({"level_1": "3"},)), ("u", (None,))],
+        "study string, form struct<n: map<string,string>>",
+    )
+    found = rollup.conflicts(rollup.form_leaves(rows, "form", "study"), "study").collect()
+    assert {(r["study"], r["path"], r["value"]) for r in found} == {("t", "n.level_1", "1"), ("t", "n.level_1", "3")}
+
+
+def test_forms_keep_their_order_at_large_row_numbers(spark):
+    form = "tipo de intervención: {}"
+    rows = spark.createDataFrame(
+        [("s", 2**49, form.format("a"), form.format("b")), ("s", 5, None, form.format("c"))],
+        "study string, row_seq long, x string, y string",
+    )
+    got = rollup.study_forms(rows, ["x", "y"], "study").orderBy("entry_no").collect()
+    assert [r["value"][-1] for r in got] == ["a", "c", "b"]
+
+
+def test_yearly_studies(spark):
+    rows = spark.createDataFrame(
+        [(1, "B1", "2016", "d1", FORM2), (2, "B1", "2017", "d2", None), (3, "B2", "2017", "d3", None),
+         (4, "B3", "2017", "d4", FORM2), (5, None, "2017", "d5", None)],
+        "row_seq int, study string, year string, Macro string, notes string",
+    )
+    sheet = spark.createDataFrame([("tumorectomia + bsgc", ["bsgc", "tumorectomia"])], "x string, y array<string>")
+    done = preprocess.process_yearly(
+        rows, ["Macro"], sheet, ["notes"], study="study", denied=["B3"]
+    )
+    got = {(r["year"], r["study"]): r["Macro"] for r in done.studies.collect()}
+    assert {k: v.split()[-1] for k, v in got.items()} == {
+        ("2016", "B1"): "d1", ("2017", "B1"): "d2", ("2017", "B2"): "d3"
+    }
+    assert [(r["year"], r["study"]) for r in done.forms.collect()] == [("2016", "B1")]
+
+
+def test_roc_of_one_class_nulls_and_nothing(spark):
+    rows = [("a", 0.9, 1), ("a", 0.1, 0), ("a", None, 1), ("b", 0.5, 0), ("b", 0.2, 0)]
+    scores = spark.createDataFrame(rows, "label string, score double, truth int")
+    assert {r["label"]: r["auc"] for r in evaluate.auc(scores).collect()} == {"a": 1.0, "b": None}
+    points = evaluate.roc_points(scores).where("label = 'a'").collect()
+    assert max(r["tpr"] for r in points) == 1.0
+    assert evaluate.roc_points(scores.limit(0)).collect() == []
+    empty = spark.createDataFrame([], "k int, t array<string>, p array<string>")
+    assert evaluate.entity_scores(empty, "t", "p", "k").first()["accuracy"] is None
+
+
+def test_every_choice_matches_itself(spark):
+    choices = ["sal y pimienta", "mama mas axila", "green gear y hot", "uno-dos", "Más allá"]
+    keys = spark.createDataFrame([(c,) for c in choices], "k string")
+    got = {r["key"]: (r["match"], r["score"]) for r in joins.fuzzy_best(keys, "k", choices).collect()}
+    assert got == {c: (c, 100) for c in choices}
+
+
+def test_vocabulary_is_whole(spark):
+    rows = spark.range(6).select(
+        F.transform(F.sequence(F.lit(0), F.lit(263_143)), lambda i: F.concat(F.lit("t"), i.cast("string"))).alias("words")
+    )
+    rows = rows.union(spark.createDataFrame([(["other"],), (["one"],)], "words array<string>"))
+    model = learn.fit_vectorizer(rows, "bag_of_words", min_df=1)
+    assert len(model.stages[0].vocabulary) == 263_146
+
+
+def test_histological_type_keeps_every_row(spark, monkeypatch):
+    from casemill.operators import labels
+
+    texts = [f"texto {k % 9} comun" for k in range(76)] + [None] * 4
+    rows = spark.createDataFrame([(t, "a" if k % 2 else "b") for k, t in enumerate(texts)], "x string, y string")
+    monkeypatch.setattr(labels, "histology_with_annotations", lambda *a: rows)
+    done = training.histological_type(rows, rows, 4, max_iter=5)
+    assert done.validation.count() == 12
