@@ -15,9 +15,35 @@ from casemill.session import table
 __all__ = ["QUERIES", "SQL"]
 
 
-@query("op1_ngram_join")
+NGRAM_JOIN_SQL = r"""
+    WITH RECURSIVE
+    words AS (
+      SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+               lambda x: x <> '') AS w FROM documents),
+    grams AS (
+      SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 4
+               THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words),
+    sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    shared AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g
+      WHERE a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (
+      SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+      WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reached AS (
+      SELECT doc_id, doc_id AS other FROM documents
+      UNION SELECT doc_id, b FROM reached JOIN edges ON other = a)
+    SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+    FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id"""
+
+
+@query("op1_ngram_join", NGRAM_JOIN_SQL)
 def ngram_join_query(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.link(table(spark, folder, "documents"))
+    linked = ngram_join.link(table(spark, folder, "documents"))
+    return linked.select("doc_id", "n_shingles", "component_id")
 
 
 #: The key of a run is its owner's secret; this one is for the checks alone.

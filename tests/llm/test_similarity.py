@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections import Counter
 
+import compare
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -70,9 +71,11 @@ def brute_join(rows):
     return {k: (len(sets[k]), least[of[k]]) for k, _, _ in rows}
 
 
-def test_join_query(spark, texts):
-    got = QUERIES["op1_ngram_join"](spark, FOLDER).collect()
+def test_join_query(spark, small, texts, database):
     want = brute_join([(i, i, t) for i, t in texts.items()])
+    query = QUERIES["op1_ngram_join"](spark, FOLDER)
+    assert not compare.differences(query, database, entry_points.oracle_sql()["op1_ngram_join"])
+    got = ngram_join.link(small).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
     kept = Counter(r.component_id for r in got if r.first)
     assert set(kept.values()) == {1} and set(kept) == {c for _, c in want.values()}
