@@ -58,9 +58,10 @@ SYLLABLES = {
     "greek": "βα γε δο ζη θα κε λο μα νι πα ρο σα τε φι χα ψη".split(),
 }
 
-# Kinds in the order in which they are looked for; the patterns share no capturing groups.
+# Kinds in the order in which they are looked for. Loops over groups are possessive or bounded: in
+# very long texts others would overrun the stack.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?)+",
+    "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}][\p{L}\p{N}-]*+(?:\.[\p{L}\p{N}][\p{L}\p{N}-]*+)++",
     "secret": r"(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[a-z]_[0-9A-Za-z]{36})(?![\p{L}\p{N}])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])",
     "card": r"\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
@@ -144,8 +145,7 @@ _ALPHABETS = {
 def _same_shape(entity: Column, digest: Column, alphabets: dict[str, str], keep: Column) -> Column:
     """Each letter and digit by another of its kind; the first `keep` characters stay."""
 
-    def one(i: Column) -> Column:
-        c = F.substr(entity, i + 1, F.lit(1))
+    def one(c: Column, i: Column) -> Column:
         number = _draw(digest, i)
         changed = reduce(
             lambda when, a: when.when(
@@ -156,12 +156,11 @@ def _same_shape(entity: Column, digest: Column, alphabets: dict[str, str], keep:
         )
         return changed.otherwise(c)
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.length(entity) - 1), one), "")
+    return F.array_join(F.transform(F.split(entity, ""), one), "")
 
 
-def candidate(kind: Column, entity: Column, key: str, attempt: int) -> Column:
+def candidate(kind: Column, entity: Column, digest: Column) -> Column:
     """Surrogate of a canonical entity, in canonical form."""
-    digest = _digest(key, attempt, kind, entity)
     none = F.lit(0)
     hexadecimal = {r"\d": "0123456789", "[a-f]": "abcdef"} | _ALPHABETS
     octets = F.array_join(F.array(*(F.pmod(_draw(digest, k), F.lit(254)) + 1 for k in range(4))), ".")
@@ -232,7 +231,11 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
     real = entities.select("kind", F.col("entity").alias("surrogate"))
     done, left, attempt = None, entities, 0
     while True:
-        drawn = left.withColumn("surrogate", candidate(F.col("kind"), F.col("entity"), key, attempt))
+        # a column of its own: it is read for every character
+        digest = _digest(key, attempt, F.col("kind"), F.col("entity"))
+        drawn = left.withColumn("digest", digest).withColumn(
+            "surrogate", candidate(F.col("kind"), F.col("entity"), F.col("digest"))
+        )
         taken = real if done is None else real.union(done.select("kind", "surrogate"))
         first = (
             drawn.groupBy("kind", "surrogate")

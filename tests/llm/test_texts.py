@@ -76,6 +76,12 @@ def test_distinct_although_draws_collide(spark):
     assert len({r.surrogate for r in got}) == 40 and not {r.surrogate for r in got} & real
 
 
+def test_long_runs_take_no_stack(spark):
+    long = ["x@a" + ".b" * 100_000, "1" * 100_000, "1 " * 50_000, "Mr. " * 50_000, "a." * 100_000, "1.2." * 50_000]
+    got = replaced(spark, long)
+    assert [len(t) for t in got] == [len(t) for t in long] and got[0] != long[0]
+
+
 def test_key_matters_and_runs_repeat(spark):
     frame = spark.createDataFrame([(1, "97.51.17.173 and 97.51.17.174")], "doc_id long, text string")
     one, again, other = (surrogates.replace(frame, k).first().text for k in ("a", "a", "b"))
