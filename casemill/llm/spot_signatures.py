@@ -1,7 +1,7 @@
 """Document fingerprints from spot signatures, in DataFrame functions alone.
 
-A spot is a common word (anchor) and the chain of the next content words after it; common words in
-between are passed over. The set of a text's spots is its fingerprint. Likeness is the Jaccard
+A spot is a common word (anchor) before a content word and the chain of content words that begins
+there; common words in between are passed over. The set of a text's spots is its fingerprint. Likeness is the Jaccard
 index of two sets; the join compares only sets in the same or in neighbouring length partitions
 that share a spot of their prefixes, and leaves a pair out as soon as its lengths forbid a match.
 """
@@ -32,7 +32,8 @@ COMMON_WORDS = (
 _WORD_GAP = r"[^\p{L}\p{N}]+"
 _MARK = "_"
 _CONTENT = r"[^_ ][^ ]*"
-_SPOT = rf"(?=(?<![^ ])(_[^ ]+(?:(?: _[^ ]+)* {_CONTENT}){{{CHAIN}}})(?: |$))"
+# possessive: a run of common words of any length takes no stack, and is looked at once a chain
+_SPOT = rf"(?=(?<![^ ])(_[^ ]+ {_CONTENT}(?:(?: _[^ ]+)*+ {_CONTENT}){{{CHAIN - 1}}})(?: |$))"
 
 
 def spots(text: Column) -> Column:

@@ -178,12 +178,16 @@ def test_spot_edges(edge, nothing):
 
 
 def test_spot_sets(spark):
-    frame = spark.createDataFrame(
-        [("The quick brown fox jumps over the lazy dog",), ("a of the",), ("the quick the brown fox",)], "t string"
-    )
-    sizes = [len(r[0]) for r in frame.select(spot_signatures.spots(F.col("t"))).collect()]
-    # beginning and first anchor share no name: "^ quick brown", "the quick brown"; then "over/the ..."
-    assert sizes[1] == 1 and sizes[0] >= 3 and sizes[2] >= 2
+    texts = [
+        "The quick brown fox jumps over the lazy dog and cat",  # ^, The, over: chains of two words
+        "a of the",
+        "and the quick, the brown fox",
+        "the " * 200_000 + "end of it all " + "a " * 200_000,
+    ]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    sets = {r[0]: r[1] for r in frame.select("k", spot_signatures.spots(F.col("t"))).collect()}
+    assert [len(sets[k]) for k in range(3)] == [4, 1, 2]
+    assert len(sets[3]) >= 1
 
 
 def test_similar_pairs(spark):
