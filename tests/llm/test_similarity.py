@@ -179,14 +179,14 @@ def test_spot_edges(edge, nothing):
 
 def test_spot_sets(spark):
     texts = [
-        "The quick brown fox jumps over the lazy dog and cat",  # ^, The, over: chains of two words
+        "The quick brown fox jumps over the lazy dog and cat",  # the quick brown, the lazy dog
         "a of the",
         "and the quick, the brown fox",
         "the " * 200_000 + "end of it all " + "a " * 200_000,
     ]
     frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
     sets = {r[0]: r[1] for r in frame.select("k", spot_signatures.spots(F.col("t"))).collect()}
-    assert [len(sets[k]) for k in range(3)] == [4, 1, 2]
+    assert [len(sets[k]) for k in range(3)] == [2, 1, 2]
     assert len(sets[3]) >= 1
 
 
