@@ -33,11 +33,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8): the one with the smallest id.
+    """One document of each group of near copies (five words, 0.85): the one with the smallest id.
 
     Texts without words are in no group and all stay, repeated rows of them too.
     """
-    linked = ngram_join.link(docs, words=5, percent=80)
+    linked = ngram_join.link(docs, words=5, percent=85)
     first = linked.where("first and n_shingles > 0").select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("text_hash").alias("__text")
     )
