@@ -284,6 +284,16 @@ def test_pipeline(spark, tmp_path):
     assert Counter(r.length for r in got.collect()) == Counter(r.length for r in before.collect())
 
 
+def test_near_copies_from_four_fifths_on(spark):
+    words = [f"w{k}" for k in range(100)]
+    other = lambda k: " ".join(words[: 100 - k] + [f"x{j}" for j in range(k)])
+    # 96 n-grams of five words each: 86 of 106 are shared, then 85 of 107 (0.81 and 0.79)
+    for changed, kept in ((10, [1]), (11, [1, 2])):
+        docs = spark.createDataFrame([(1, other(0)), (2, other(changed))], "doc_id long, text string")
+        got = corpus_pipeline.one_of_each_group(spark, docs, FOLDER)
+        assert sorted(r.doc_id for r in got.collect()) == kept
+
+
 def test_stages_keep_odd_rows(spark, edge, nothing):
     wide = edge.withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("long")).withColumn("__n", F.lit(1))
     for name, stage in corpus_pipeline.STAGES[:3]:
