@@ -19,6 +19,9 @@ from casemill.session import written
 #: Copies of the surrogate table in its join with the occurrences: an entity that a third of all
 #: documents name is spread over as many tasks.
 SALTS = 16
+#: Rounds that keep an entity's length (names: their four syllables a word in the first alone);
+#: each later one draws from longer surrogates, so that there are enough for any number of entities.
+SAME_LENGTH = 4
 
 _EDGE = r"(?<![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -159,15 +162,18 @@ def _same_shape(entity: Column, digest: Column, alphabets: dict[str, str], keep:
     return F.array_join(F.transform(F.split(entity, ""), one), "")
 
 
-def candidate(kind: Column, entity: Column, digest: Column) -> Column:
-    """Surrogate of a canonical entity, in canonical form."""
+def candidate(kind: Column, entity: Column, digest: Column, attempt: int = 0) -> Column:
+    """Surrogate of a canonical entity, in canonical form; longer in later attempts."""
     none = F.lit(0)
+    more = max(0, attempt + 1 - SAME_LENGTH)
+    # one decimal digit or letter a place, from the end of the digest
+    longer = lambda values: F.concat(F.lit(""), *(_pick([*values], _draw(digest, 62 - k)) for k in range(more)))
     hexadecimal = {r"\d": "0123456789", "[a-f]": "abcdef"} | _ALPHABETS
     octets = F.array_join(F.array(*(F.pmod(_draw(digest, k), F.lit(254)) + 1 for k in range(4))), ".")
     # the country code of a phone number, of an IBAN and the end of a mail address stay
     stem = F.regexp_replace(entity, r"\.[^.@]*$", "")
     mail = F.concat(
-        _same_shape(stem, digest, _ALPHABETS, none), F.substr(entity, F.length(stem) + 1)
+        longer(_ALPHABETS["[a-z]"]), _same_shape(stem, digest, _ALPHABETS, none), F.substr(entity, F.length(stem) + 1)
     )
     parts = F.split(entity, "/")
     gender, script, name = F.element_at(parts, 1), F.element_at(parts, 2), F.element_at(parts, 3)
@@ -177,9 +183,11 @@ def candidate(kind: Column, entity: Column, digest: Column) -> Column:
         F.when(F.lit(False), F.lit("")),
     )
 
+    syllables = 4 + attempt
+
     def family(place: int) -> Column:
         made = lambda s: F.initcap(
-            F.concat(*(_pick(SYLLABLES[s], _draw(digest, 4 * place + k + 1)) for k in range(4)))
+            F.concat(*(_pick(SYLLABLES[s], _draw(digest, syllables * place + k + 1)) for k in range(syllables)))
         )
         return reduce(lambda when, s: when.when(script == s, made(s)), SYLLABLES, F.when(F.lit(False), ""))
 
@@ -187,14 +195,16 @@ def candidate(kind: Column, entity: Column, digest: Column) -> Column:
     whole = F.concat_ws(
         " ", F.when(words > 1, given), family(0), F.when(words > 2, family(1))
     )
+    digits = longer("0123456789")
+    shape = lambda alphabets, keep: F.concat(_same_shape(entity, digest, alphabets, keep), digits)
     return (
         F.when(kind == "email", mail)
-        .when(kind == "secret", _same_shape(entity, digest, hexadecimal, none))
-        .when(kind == "address", octets)
-        .when(kind == "iban", _same_shape(entity, digest, _ALPHABETS, F.lit(2)))
-        .when(kind == "phone", _same_shape(entity, digest, _ALPHABETS, F.when(entity.startswith("+"), 2).otherwise(0)))
+        .when(kind == "secret", shape(hexadecimal, none))
+        .when(kind == "address", F.concat(octets, F.lit(":"), digits) if more else octets)
+        .when(kind == "iban", shape(_ALPHABETS, F.lit(2)))
+        .when(kind == "phone", shape(_ALPHABETS, F.when(entity.startswith("+"), 2).otherwise(0)))
         .when(kind == "name", whole)
-        .otherwise(_same_shape(entity, digest, _ALPHABETS, none))
+        .otherwise(shape(_ALPHABETS, none))
     )
 
 
@@ -210,6 +220,8 @@ def in_layout(kind: Column, surface: Column, surrogate: Column) -> Column:
         return F.when(c.rlike(r"[\p{L}\p{N}]"), F.substr(letters, count(i), F.lit(1))).otherwise(c)
 
     filled = F.array_join(F.transform(F.sequence(F.lit(0), F.length(surface) - 1), one), "")
+    # a surrogate longer than the mention goes on at its end
+    filled = F.concat(filled, F.substr(letters, count(F.length(surface)) + 1))
     bare = F.substr(surface, F.length(_title(surface)) + 2)
     upper = (bare == F.upper(bare)) & (bare != F.lower(bare))
     return (
@@ -221,27 +233,35 @@ def in_layout(kind: Column, surface: Column, surrogate: Column) -> Column:
     )
 
 
+def _form(kind: Column, text: Column) -> Column:
+    """In what entities and surrogates are compared: names by their letters alone, in lower case."""
+    return F.when(kind == "name", F.lower(F.element_at(F.split(text, "/"), -1))).otherwise(text)
+
+
 def assigned(entities: DataFrame, key: str) -> DataFrame:
     """kind, entity, surrogate for distinct (kind, entity): no two alike, none a real entity.
 
     Each round draws for the entities that have none yet. Of those that draw the same, the least
-    keeps it; draws that an earlier round gave away or that are real entities are void. The rounds
-    end when no entity is left; each stores its table.
+    keeps it; draws that an earlier round gave away or that are real entities are void. Later rounds
+    draw from ever more surrogates, so that they end for any number of entities; each stores its table.
     """
-    real = entities.select("kind", F.col("entity").alias("surrogate"))
+    kind = F.col("kind")
+    real = entities.select("kind", _form(kind, F.col("entity")).alias("form"))
     done, left, attempt = None, entities, 0
     while True:
         # a column of its own: it is read for every character
-        digest = _digest(key, attempt, F.col("kind"), F.col("entity"))
-        drawn = left.withColumn("digest", digest).withColumn(
-            "surrogate", candidate(F.col("kind"), F.col("entity"), F.col("digest"))
+        digest = _digest(key, attempt, kind, F.col("entity"))
+        drawn = (
+            left.withColumn("digest", digest)
+            .withColumn("surrogate", candidate(kind, F.col("entity"), F.col("digest"), attempt))
+            .withColumn("form", _form(kind, F.col("surrogate")))
         )
-        taken = real if done is None else real.union(done.select("kind", "surrogate"))
+        taken = real if done is None else real.union(done.select("kind", _form(kind, F.col("surrogate"))))
         first = (
-            drawn.groupBy("kind", "surrogate")
-            .agg(F.min("entity").alias("entity"))
-            .join(taken, ["kind", "surrogate"], "left_anti")
-            .select("kind", "entity", "surrogate")
+            drawn.groupBy("kind", "form")
+            .agg(F.min(F.struct("entity", "surrogate")).alias("least"))
+            .join(taken, ["kind", "form"], "left_anti")
+            .select("kind", "least.entity", "least.surrogate")
         )
         first = written(first, "surrogates")
         left = written(left.join(first, ["kind", "entity"], "left_anti"), "without-surrogate")

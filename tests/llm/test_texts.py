@@ -76,6 +76,25 @@ def test_distinct_although_draws_collide(spark):
     assert len({r.surrogate for r in got}) == 40 and not {r.surrogate for r in got} & real
 
 
+def test_more_entities_than_short_surrogates(spark, monkeypatch):
+    monkeypatch.setitem(surrogates.SYLLABLES, "latin", ["ba", "den"])
+    stored = []
+
+    def written(frame, name, store=surrogates.written):
+        stored.append(name)
+        assert len(stored) < 40, "the rounds do not end"
+        return store(frame, name)
+
+    monkeypatch.setattr(surrogates, "written", written)
+    real = [("name", f"{'mf'[k % 2]}/latin/name{k}") for k in range(40)]
+    real += [("email", f"{a}@{b}.com") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrst"]
+    real += [("name", "m/latin/babababa")]  # what a draw may give
+    got = surrogates.assigned(spark.createDataFrame(real, "kind string, entity string"), "key").collect()
+    assert {(r.kind, r.entity) for r in got} == set(real) and len(got) == len(real)
+    drawn = {(r.kind, r.surrogate.lower()) for r in got}
+    assert len(drawn) == len(real) and not drawn & (set(real) | {("name", "babababa")})
+
+
 def test_long_runs_take_no_stack(spark):
     long = ["x@a" + ".b" * 100_000, "1" * 100_000, "1 " * 50_000, "Mr. " * 50_000, "a." * 100_000, "1.2." * 50_000]
     got = replaced(spark, long)
