@@ -25,7 +25,18 @@ SAME_LENGTH = 4
 
 _EDGE = r"(?<![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:[-’']\p{Lu}[\p{Ll}\p{M}]+)?"
+_ADDRESS = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\p{{N}}|\.\d)"
+_NUMBER = r"\d{3}-\d{2}-\d{4}(?!\d)"
+# What begins after a blank is another entity, not a further group of digits.
+_OTHER = rf"(?!{_ADDRESS}|{_NUMBER}|\d{{13}})"
+_CALL = r"(?!\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}(?!\d)|\d{4}(?:[ -]\d{4}){3}(?!\d|[ -]\d{4}(?!\d)))"
+_GROUP = rf"(?:\.|[ -]{_OTHER}{_CALL})"
+# A word of a name goes up to its edge: inner capitals, all capitals, hyphens, apostrophes; or an initial.
+_WORD = r"(?:\p{Lu}\.(?= \p{Lu})|\p{Lu}[\p{L}\p{M}]*+(?:[-’'][\p{L}\p{M}]++)*+)"
+# Small words between those of a name (fixed).
+_PARTICLES = (
+    "de del della di da do das dos du des la las le los van von der den dem ter ten zu zum zur af av bin ibn al el"
+).split()
 
 # Titles that tell a gender (fixed), the two lists side by side: male, female.
 TITLES = {
@@ -61,17 +72,30 @@ SYLLABLES = {
     "greek": "βα γε δο ζη θα κε λο μα νι πα ρο σα τε φι χα ψη".split(),
 }
 
+_TITLE = "|".join(t.replace(".", "[.]") for ts in TITLES.values() for t in ts)
 # Kinds in the order in which they are looked for. Loops over groups are possessive or bounded: in
 # very long texts others would overrun the stack.
 PATTERNS = {
     "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}][\p{L}\p{N}-]*+(?:\.[\p{L}\p{N}][\p{L}\p{N}-]*+)++",
     "secret": r"(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[a-z]_[0-9A-Za-z]{36})(?![\p{L}\p{N}])",
-    "iban": r"[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])",
-    "card": r"\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
-    "address": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{N}}]|\.\d)",
-    "number": r"\d{3}-\d{2}-\d{4}(?!\d)",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?!\d)",
-    "name": rf"(?:{'|'.join(t.replace('.', '[.]') for ts in TITLES.values() for t in ts)}) {_NAME}(?: {_NAME}){{0,2}}",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])".replace(" ?", rf"(?: {_OTHER})?"),
+    "card": (
+        r"(?:\d{13,19}(?![\p{L}\p{N}])"
+        rf"|\d{{4}}(?:[ -]\d{{4}}){{3}}(?:[ -]{_OTHER}\d{{1,3}}(?![\p{{L}}\p{{N}}])(?![ .-]\d))?(?![\p{{L}}\p{{N}}])"
+        rf"|\d(?:(?:[ -]{_OTHER}{_CALL})?\d){{12,18}}(?![\p{{L}}\p{{N}}]))"
+    ),
+    "address": _ADDRESS,
+    "number": _NUMBER,
+    "phone": (
+        r"(?:\+\d{8,15}(?!\d)"
+        rf"|\+\d(?:(?:{_GROUP}|[ -]?[()][ .-]?)?\d){{7,14}}(?!\d|\.\d)(?![ -]{_OTHER}{_CALL}\d)"
+        rf"|(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)|\d{{2,4}})[ .-]?\d{{3,4}}{_GROUP}\d{{3,4}}"
+        rf"(?:{_GROUP}\d{{2,4}}(?!\d|\.\d))?(?!\d))"
+    ),
+    "name": (
+        rf"(?:{_TITLE}) (?:(?:{'|'.join(_PARTICLES)}) ){{0,3}}(?!(?:{_TITLE}) ){_WORD}"
+        rf"(?: (?:(?:{'|'.join(_PARTICLES)}) ){{0,3}}(?!(?:{_TITLE}) |[\p{{L}}\p{{N}}._%+-]++@){_WORD}(?![\p{{L}}\p{{M}}\p{{N}}]))*+"
+    ),
 }
 ANY = _EDGE + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 

@@ -95,6 +95,27 @@ def test_more_entities_than_short_surrogates(spark, monkeypatch):
     assert len(drawn) == len(real) and not drawn & (set(real) | {("name", "babababa")})
 
 
+WHOLE = [
+    "+1 (826) 555-4081", "+14155552671", "+33 6 12 34 56 78", "+33.6.12.34.56.78", "826 555 4081", "190.137.223.204",
+    "078-05-1120", "9807915762804490", "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "a.doe@mail.example.com",
+    "Mr. McDonald", "Mr. Juan de la Cruz", "Ms. ANNA SMITH", "Herr von Berg", "Mr. A B C D Smith",
+    "Mr. J. O'Neil", "Frau Anna-Maria Schmidt",
+]
+
+
+def test_nothing_of_an_entity_stays(spark):
+    """Each entity alone and every pair of neighbours is found whole."""
+    texts = [[a] for a in WHOLE] + [[a, b] for a in WHOLE for b in WHOLE]
+    frame = spark.createDataFrame([(" ".join(t), t) for t in texts], "text string, want array<string>")
+    found = frame.select("want", F.regexp_extract_all("text", F.lit(surrogates.ANY), F.lit(0)).alias("found"))
+    wrong = [(r.want, r.found) for r in found.collect() if r.want != r.found]
+    assert not wrong, wrong
+    kinds = frame.where("size(want) = 1").select("text", surrogates.kind_of(F.col("text")).alias("kind")).collect()
+    assert all(r.kind == ("phone" if r.text[0] == "+" else r.kind) != "other" for r in kinds)
+    name = "Mr. " + "Ab " * 50_000
+    assert "Ab" not in replaced(spark, [name])[0]
+
+
 def test_long_runs_take_no_stack(spark):
     long = ["x@a" + ".b" * 100_000, "1" * 100_000, "1 " * 50_000, "Mr. " * 50_000, "a." * 100_000, "1.2." * 50_000]
     got = replaced(spark, long)
