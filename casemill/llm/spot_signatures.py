@@ -17,6 +17,8 @@ from casemill.llm.ordering import successors
 
 #: Content words of a chain.
 CHAIN = 2
+#: In texts with fewer common words than one in so many, every content word is an anchor.
+SPARSE = 20
 
 # Common words of English, German, French and Spanish: anchors, and passed over in chains (fixed).
 COMMON_WORDS = (
@@ -39,8 +41,9 @@ _SPOT = rf"(?=(?<![^ ])(_[^ ]+ {_CONTENT}(?:(?: _[^ ]+)*+ {_CONTENT}){{{CHAIN -
 def spots(text: Column) -> Column:
     """Sorted distinct 32-bit hashes of a text's spots; its beginning counts as an anchor too.
 
-    Texts without a spot, empty ones among them, have the hash of the whole text as their only one;
-    null counts as empty.
+    Where a text has fewer common words than one in `SPARSE` words, every content word with
+    a next one begins a chain too, so that the spots cover all of it in any language. Texts without a spot, empty ones among them, have the hash of the whole text as
+    their only one; null counts as empty.
     """
     text = F.coalesce(text, F.lit(""))
     words = F.array_remove(F.split(F.lower(text), _WORD_GAP), "")
@@ -49,6 +52,13 @@ def spots(text: Column) -> Column:
     )
     line = F.concat(F.lit("_^ "), F.array_join(marked, " "))
     found = F.regexp_extract_all(line, F.lit(_SPOT), F.lit(1))
+    sparse = F.size(F.filter(marked, lambda w: w.startswith(_MARK))) * SPARSE < F.size(words)
+    content = F.filter(words, lambda w: ~w.isin(COMMON_WORDS))
+    chains = F.transform(content, lambda w: F.concat(F.lit("_* "), w))
+    for k in range(1, CHAIN):  # null past the end
+        chains = F.zip_with(chains, F.slice(content, k + 1, F.size(content)), lambda a, b: F.concat(a, F.lit(" "), b))
+    chains = F.filter(chains, F.isnotnull)
+    found = F.when(sparse, F.concat(found, chains)).otherwise(found)
     hashed = F.transform(found, lambda s: F.hash(F.regexp_replace(s, "(?<=.) _[^ ]+", "")))
     return F.array_sort(
         F.when(F.size(hashed) > 0, F.array_distinct(hashed)).otherwise(F.array(F.hash(text)))

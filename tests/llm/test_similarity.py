@@ -190,6 +190,16 @@ def test_spot_sets(spark):
     assert len(sets[3]) >= 1
 
 
+def test_spots_cover_texts_without_common_words(spark):
+    russian = [f"слово{k}" for k in range(120)]
+    other = [f"иное{k}" for k in range(120)]
+    texts = [" ".join(russian), " ".join(russian[:2] + other[2:]), " ".join(russian[:80] + other[80:])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    sets = {r[0]: set(r[1]) for r in frame.select("k", spot_signatures.spots(F.col("t"))).collect()}
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert len(sets[0]) > 10 and near(0, 1) < 0.2 and 0.2 < near(0, 2) < 0.9
+
+
 def test_similar_pairs(spark):
     texts = copies(7, prose(70, 200), 25, 3) + [prose(200 + k, 100) for k in range(20)]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
