@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from casemill.llm import (
-    main_text, masked_lm, neighbours, ngram_join, packing, piece_ids, quality, spot_signatures,
-    surrogates, token_store,
+    main_text, masked_lm, neighbours, ngram_join, packing, periodic_runs, piece_ids, quality, spot_signatures,
+    source_divergence, surrogates, token_store, toxicity,
 )
 from casemill.llm.registry import QUERIES, SQL, query
 from casemill.session import table
@@ -95,6 +95,61 @@ def neighbours_query(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(table(spark, folder, "embeddings"))
 
 
+SOURCE_DIVERGENCE_SQL = r"""
+    WITH
+    docs AS MATERIALIZED (
+      SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+      FROM documents),
+    found AS MATERIALIZED (
+      SELECT d, lang, source,
+             unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+    kept AS MATERIALIZED (
+      SELECT lang, term, count(*) AS total FROM found GROUP BY ALL HAVING count(DISTINCT d) >= 3),
+    langs AS MATERIALIZED (
+      SELECT lang, count(term)::HUGEINT AS v, coalesce(sum(total), 0)::HUGEINT AS words
+      FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN kept USING (lang) GROUP BY ALL),
+    counts AS MATERIALIZED (
+      SELECT lang, source, term, count(*) AS n FROM found SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+    groups AS MATERIALIZED (
+      SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS size
+      FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+    shares AS MATERIALIZED (
+      SELECT lang, source, term, coalesce(n, 0) AS n, total,
+             1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (size + v) AS p,
+             1 + 1000000000::HUGEINT * (total + 1) // (words + v) AS of_lang
+      FROM groups JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN counts USING (lang, source, term)),
+    sums AS (
+      SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    rated AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+      FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, (p - of_lang) * (p - of_lang) // of_lang FROM shares
+      WHERE n > 0 AND p > of_lang),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rated)
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked
+    WHERE part = 'pair' OR rank <= 200"""
+
+
+@query("op11_source_divergence", SOURCE_DIVERGENCE_SQL)
+def source_divergence_query(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.audit(table(spark, folder, "documents"))
+
+
+@query("op12_toxicity")
+def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op13_periodic_runs")
+def periodic_runs_query(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.detect(table(spark, folder, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline_query(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
