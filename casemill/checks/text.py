@@ -318,3 +318,37 @@ def fuzzy_best(spark: SparkSession, folder: str) -> DataFrame:
 @check("join_fuzzy_unmatched", f"SELECT * FROM ({_BEST}) WHERE score < 80")
 def fuzzy_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return joins.fuzzy_unmatched(table(spark, folder, "part"), "p_name", _CHOICES, 80)
+
+
+# the same against a table of choices: every name, type and brand that occurs
+
+_TABLE_BEST = f"""
+    WITH keys AS MATERIALIZED (
+           SELECT key, {sql.clean_words(sql.processed('key'))} AS a
+           FROM (SELECT DISTINCT translate(p_name, 'el', 'au') || ' ' || p_type AS key FROM part)),
+         choices AS MATERIALIZED (
+           SELECT match, n, {sql.clean_words(sql.processed('match'))} AS b
+           FROM (SELECT p_type || ' ' || p_name || ' ' || p_brand AS match, min(p_partkey) AS n FROM part GROUP BY 1)),
+         scored AS MATERIALIZED (
+           SELECT key, match, n, {sql.token_score('a', 'b')} AS score FROM keys, choices)
+    SELECT key, match, score FROM (
+      SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, n) AS r FROM scored) WHERE r = 1"""
+
+
+def _table_of_choices(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    part = table(spark, folder, "part")
+    keys = part.select(F.concat(F.translate("p_name", "el", "au"), F.lit(" "), F.col("p_type")).alias("key"))
+    match = F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("match")
+    return keys, part.groupBy(match).agg(F.min("p_partkey").alias("choice_order"))
+
+
+@check("join_fuzzy_best_table", f"SELECT * FROM ({_TABLE_BEST}) WHERE score >= 80")
+def fuzzy_best_table(spark: SparkSession, folder: str) -> DataFrame:
+    keys, choices = _table_of_choices(spark, folder)
+    return joins.fuzzy_best(keys, "key", choices, 80)
+
+
+@check("join_fuzzy_unmatched_table", f"SELECT * FROM ({_TABLE_BEST}) WHERE score < 80")
+def fuzzy_unmatched_table(spark: SparkSession, folder: str) -> DataFrame:
+    keys, choices = _table_of_choices(spark, folder)
+    return joins.fuzzy_unmatched(keys, "key", choices, 80)

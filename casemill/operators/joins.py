@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from casemill import constants as K
 from casemill.functions import fuzzy
 from casemill.functions import text as T
+from casemill.operators import choice_index
 from casemill.session import for_costly_rows
 
 
@@ -70,32 +71,49 @@ def code_names(
     )
 
 
+Choices = Sequence[str] | DataFrame
+
+
 def fuzzy_best(
     keys: DataFrame,
     column: str,
-    choices: Sequence[str],
+    choices: Choices,
     cutoff: int = 90,
     scorer: fuzzy.Scorer | None = None,
+    choice: str = "match",
+    order: str = "choice_order",
 ) -> DataFrame:
-    """Distinct keys with their best choice: key, match, score (only score >= cutoff)."""
-    return _best(keys, column, choices, scorer).filter(F.col("score") >= cutoff)
+    """Distinct keys with their best choice: key, match, score (only score >= cutoff).
+
+    `choices` is a short list, or a table of any size with the columns `choice` and `order`; a table
+    is searched by `choice_index` and takes the token score only.
+    """
+    best = _best(keys, column, choices, scorer, choice, order, cutoff, below=cutoff <= 0)
+    return best.filter(F.col("score") >= cutoff)
 
 
 def fuzzy_unmatched(
     keys: DataFrame,
     column: str,
-    choices: Sequence[str],
+    choices: Choices,
     cutoff: int = 90,
     scorer: fuzzy.Scorer | None = None,
+    choice: str = "match",
+    order: str = "choice_order",
 ) -> DataFrame:
     """Distinct keys below the cutoff, with their best choice and its score."""
     below = (F.col("score") < cutoff) | F.col("score").isNull()
-    return _best(keys, column, choices, scorer).filter(below)
+    return _best(keys, column, choices, scorer, choice, order, cutoff).filter(below)
 
 
 def _best(
-    keys: DataFrame, column: str, choices: Sequence[str], scorer: fuzzy.Scorer | None
-) -> DataFrame:
+    keys: DataFrame, column: str, choices: Choices, scorer: fuzzy.Scorer | None,
+    choice: str, order: str, cutoff: int, below: bool = True,
+) -> DataFrame:
+    if isinstance(choices, DataFrame):
+        if scorer is not None:
+            raise ValueError("a table of choices is compared by token score; give other scorers a list")
+        return choice_index.best_choices(keys, column, choices, choice, order, cutoff, below)
     distinct = for_costly_rows(keys.select(F.col(column).alias("key")).dropna().distinct())
     best = distinct.withColumn("_best", fuzzy.best_choice(F.col("key"), choices, scorer))
     return best.select(
