@@ -41,6 +41,27 @@ def _found(c: Column, pattern: str, group: int) -> Column:
     return T.strip(F.regexp_extract(whole, pattern, group) if group else whole)
 
 
+def _line_of(c: Column, phrase: str, skip: int = 0) -> Column:
+    """The first line with `phrase`, or the line after it and any empty lines; "" when there is none.
+
+    Found by searches for fixed strings alone: what is before the phrase ends with the line's
+    beginning, what follows starts with its rest.
+    """
+    # no field's title has a line break, so its first place is in the first line that has it
+    before = F.substring_index(c, phrase, 1)
+
+    def cut(p: Column) -> Column:
+        rest = F.substr(p["c"], F.length(p["before"]) + 1)
+        tail = F.substring_index(rest, "\n", 1)
+        if skip == 0:
+            return F.concat(F.substring_index(p["before"], "\n", -1), tail)
+        following = F.substr(rest, F.length(tail) + 1)
+        return F.substring_index(F.ltrim(following, F.lit("\n")), "\n", 1)
+
+    found = T.bind(F.struct(c.alias("c"), before.alias("before")), cut)
+    return F.when(c.isNotNull(), F.when(F.contains(c, F.lit(phrase)), found).otherwise(""))
+
+
 def get_line(c: Column, phrase: str, skip: int = 0, deletes: Sequence[str] = ()) -> Column:
     """The first line with `phrase`, or the next non-empty line, with regexes deleted.
 
@@ -48,9 +69,7 @@ def get_line(c: Column, phrase: str, skip: int = 0, deletes: Sequence[str] = ())
     """
     if skip not in (0, 1):
         raise ValueError("a value is on the line of its title or on the next one")
-    start = rf"{LINES}^[^\n]*{_quote(phrase)}[^\n]*"
-    pattern, group = (start, 0) if skip == 0 else (start + r"\n+([^\n]*)", 1)
-    value = T.strip(F.regexp_extract(c, pattern, group))
+    value = T.strip(_line_of(c, phrase, skip))
     for d in deletes:
         if re.escape(d) == d.replace(" ", r"\ ").replace("-", r"\-"):
             value = F.replace(value, F.lit(d), F.lit(""))
@@ -108,7 +127,7 @@ def tumor_size_location(c: Column) -> tuple[Column, Column]:
 
 
 def get_raw_line(c: Column, phrase: str) -> Column:
-    return T.strip(F.regexp_extract(c, rf"{LINES}^[^\n]*{_quote(phrase)}[^\n]*", 0))
+    return T.strip(_line_of(c, phrase))
 
 
 # A line of the multiple-tumor block. `location` takes everything up to the end of the line.

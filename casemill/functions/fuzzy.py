@@ -61,26 +61,89 @@ def token_score_words(x: Column, y: Column) -> Column:
     return (100 * (1 - _token_distance(x, y))).cast("int")
 
 
+#: Letters in one 64-bit word of the table below; the rest is room for the carry.
+_WORD = 62
+
+
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two short strings.
+    """Length of the longest common subsequence of two strings.
 
-    One pass per character of `a` builds the next row of the table from the previous one.
+    A row of the usual table is kept as bits, one for each letter of the shorter string, in words of
+    62 bits: a letter of the longer string turns it into the next row by an addition and three
+    bit operations a word, with a carry from word to word. Zeros mark where the length grows.
     """
-    letters = F.split(b, "")
-    zero = F.array_repeat(F.lit(0), F.length(b) + 1)
+    shorter = F.when(F.length(a) <= F.length(b), a).otherwise(b)
+    longer = F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    zero, full = F.lit(0).cast("long"), F.lit((1 << _WORD) - 1)
+
+    def mask(block: Column, ch: Column) -> Column:
+        return F.aggregate(block, zero, lambda m, x: m * 2 + F.when(x == ch, 1).otherwise(0))
+
+    def ones(size: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), size) - 1
+
+    def zeros(row: Column, size: Column) -> Column:
+        return size - F.bit_count(row.bitwiseAND(ones(size)))
+
+    def one_word(p: Column) -> Column:
+        def step(row: Column, ch: Column) -> Column:
+            return T.bind(
+                F.struct(row.alias("v"), F.element_at(p["masks"], ch).alias("m")),
+                lambda s: (s["v"] + s["v"].bitwiseAND(s["m"])).bitwiseOR(
+                    s["v"].bitwiseAND(F.bitwise_not(s["m"]))
+                ).bitwiseAND(full),
+            )
+
+        return zeros(F.aggregate(p["letters"], ones(p["size"]), step), p["size"])
+
+    def several_words(p: Column) -> Column:
+        def next_row(row: Column, masks: Column) -> Column:
+            def word(state: Column, k: Column) -> Column:
+                def sums(v: Column) -> Column:
+                    total = v["v"] + v["v"].bitwiseAND(v["m"]) + state["carry"]
+                    kept = v["v"].bitwiseAND(F.bitwise_not(v["m"]))
+                    return F.struct(
+                        F.shiftright(total, _WORD).alias("carry"),
+                        F.concat(state["row"], F.array(total.bitwiseOR(kept).bitwiseAND(full))).alias("row"),
+                    )
+
+                return T.bind(F.struct(F.get(row, k).alias("v"), F.get(masks, k).alias("m")), sums)
+
+            start = F.struct(zero.alias("carry"), F.array().cast("array<bigint>").alias("row"))
+            places = F.sequence(F.lit(0), F.size(row) - 1)
+            return F.aggregate(places, start, word, lambda s: s["row"])
+
+        start = F.transform(p["blocks"], lambda block: ones(F.size(block)))
+        last = F.aggregate(p["letters"], start, lambda row, ch: next_row(row, F.element_at(p["masks"], ch)))
+        counts = F.zip_with(last, p["blocks"], lambda row, block: zeros(row, F.size(block)))
+        return F.aggregate(counts, F.lit(0), lambda total, n: total + n)
+
+    def run(s: Column) -> Column:
+        letters, size = F.split(s["longer"], ""), F.length(s["shorter"])
+        distinct = F.array_distinct(letters)
+        table = lambda of: F.map_from_arrays(distinct, F.transform(distinct, of))
+        backward = F.reverse(F.split(s["shorter"], ""))
+        starts = F.sequence(F.lit(0), F.floor((size - 1) / _WORD).cast("int"))
+        blocks = F.transform(
+            starts, lambda k: F.reverse(F.slice(F.split(s["shorter"], ""), k * _WORD + 1, F.lit(_WORD)))
+        )
+        short = T.bind(
+            backward,
+            lambda back: one_word_of(letters, size, table(lambda ch: mask(back, ch))),
+        )
+        long = T.bind(
+            blocks,
+            lambda bs: several_of(letters, bs, table(lambda ch: F.transform(bs, lambda block: mask(block, ch)))),
+        )
+        return F.when(size == 0, 0).when(size <= _WORD, short).otherwise(long)
 
-    def next_row(row: Column, ch: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            hit = F.get(row, j - 1) + 1
-            miss = F.greatest(F.get(row, j), F.element_at(acc, -1))
-            same = F.get(letters, j - 1) == ch
-            return F.concat(acc, F.array(F.when(same, hit).otherwise(miss)))
+    def one_word_of(letters: Column, size: Column, masks: Column) -> Column:
+        return T.bind(F.struct(letters.alias("letters"), size.alias("size"), masks.alias("masks")), one_word)
 
-        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)), cell)
+    def several_of(letters: Column, blocks: Column, masks: Column) -> Column:
+        return T.bind(F.struct(letters.alias("letters"), blocks.alias("blocks"), masks.alias("masks")), several_words)
 
-    table = F.aggregate(F.split(a, ""), zero, next_row)
-    empty = (F.length(a) == 0) | (F.length(b) == 0)
-    return F.when(empty, 0).otherwise(F.element_at(table, -1))
+    return T.bind(F.struct(shorter.alias("shorter"), longer.alias("longer")), run)
 
 
 def ratio(a: Column, b: Column, cutoff: int = 0) -> Column:
