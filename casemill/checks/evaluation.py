@@ -9,7 +9,7 @@ from casemill.checks import sql
 from casemill.checks.registry import check
 from casemill.functions import bio
 from casemill.functions import text as T
-from casemill.operators import alignment, evaluate, labels, learn
+from casemill.operators import alignment, evaluate, labels, learn, multilabel
 from casemill.plans import training
 from casemill.session import scratch_dir, spread, table
 
@@ -352,6 +352,24 @@ def train_multilabel(spark: SparkSession, folder: str) -> DataFrame:
     return done.validation.select("doc_id", F.array_join("y", ",").alias("y"), "prediction")
 
 
+@check("ml_train_multilabel_cv")
+def train_multilabel_cv(spark: SparkSession, folder: str) -> DataFrame:
+    """Balanced weights, penalties by cross-validation; the report by label and its averages."""
+    done = training.train(
+        _flags(spark, folder), "text", "y", "doc_id", "multilabel", weighted=True, folds=3,
+        strengths=(0.1, 1.0, 10.0), max_iter=50,
+    )
+    return done.report
+
+
+@check("ml_predict_scores")
+def predict_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The two most likely labels of every document, from a fitted model."""
+    model = multilabel.train(_flags(spark, folder), "doc_id", "text", "y", vectorizer="bag_of_words", max_iter=50)
+    scored = multilabel.scores(model, table(spark, folder, "documents"), "text", "doc_id")
+    return multilabel.best_labels(scored, "doc_id", 2)
+
+
 @check("ml_train_cv")
 def train_cv(spark: SparkSession, folder: str) -> DataFrame:
     rows = _rated(spark, folder)
