@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm.ordering import successors
+from casemill.session import written
 
 #: Content words of a chain.
 CHAIN = 2
@@ -91,7 +92,11 @@ def edited_likeness(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63))).alias("id"),
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"),
     ).withColumn("tie", F.xxhash64("text"))
-    keys = texts.groupBy("id", "tie").agg(F.floor(F.max(F.length("text")) / 3).cast("int").alias("third"))
+    # every text's own spots are found once; as the next one's they are read again
+    third = F.floor(F.length("text") / 3).cast("int").alias("third")
+    stored = written(texts.select("id", "tie", third, spots(F.col("text")).alias("own")), "own-spots")
+    keys = stored.groupBy("id", "tie").agg(F.max("third").alias("third"))
+    own = stored.groupBy("id", "tie").agg(F.any_value("own").alias("own"))
     order = [F.desc("id"), F.asc("tie")]
     nexts = successors(keys, ["id", "tie", "third"], order)
     wanted = nexts.select(
@@ -100,28 +105,27 @@ def edited_likeness(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
     lent = (
         texts.join(wanted, ["id", "tie"])
+        .join(own, ["id", "tie"])
         .select(
             F.col("of_id").alias("id"),
             F.col("of_tie").alias("tie"),
-            F.struct(
-                F.expr("left(text, third)").alias("head"), spots(F.col("text")).alias("spots")
-            ).alias("next"),
+            F.struct(F.expr("left(text, third)").alias("head"), F.col("own").alias("spots")).alias("next"),
         )
         .groupBy("id", "tie")
         .agg(F.any_value("next").alias("next"))
     )
     n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 3)"), F.col("next.head"))
-    rows = texts.join(lent, ["id", "tie"]).select(
+    rows = texts.join(lent, ["id", "tie"]).join(own, ["id", "tie"]).select(
         F.nullif("id", F.lit(-(2**63))).alias("doc_id"),
         n.cast("long").alias("n_chars"),
-        "text",
         edited.alias("edited"),
+        "own",
         F.col("next.spots").alias("next_spots"),
     )
     described = rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        spots(F.col("text")).alias("own"), spots(F.col("edited")).alias("edited"), "next_spots",
+        "own", spots(F.col("edited")).alias("edited"), "next_spots",
     )
     return described.select(
         "doc_id",
