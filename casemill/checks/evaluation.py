@@ -249,10 +249,10 @@ def _document_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _counts_sql() -> str:
-    return f"""WITH words AS {_words_sql()},
-      tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words) GROUP BY ALL),
-      n AS (SELECT count(*) AS n FROM documents),
-      df AS (SELECT term, count(*) AS df FROM tf, n GROUP BY term, n HAVING count(*) >= 5 AND count(*) <= 0.9 * n)"""
+    return f"""WITH words AS MATERIALIZED {_words_sql()},
+      tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words) GROUP BY ALL),
+      n AS MATERIALIZED (SELECT count(*) AS n FROM documents),
+      df AS MATERIALIZED (SELECT term, count(*) AS df FROM tf, n GROUP BY term, n HAVING count(*) >= 5 AND count(*) <= 0.9 * n)"""
 
 
 @check("ml_bow", lambda: f"{_counts_sql()} SELECT tf.doc_id, tf.term, tf.tf FROM tf JOIN df ON tf.term = df.term")
