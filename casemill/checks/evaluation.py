@@ -65,12 +65,14 @@ _REPAIRED = f"""
 
 @check(
     "bio_repair",
-    f"""SELECT conv_id, turn, string_agg(l, ' ' ORDER BY idx) AS labels
-        FROM ({_REPAIRED}) GROUP BY conv_id, turn""",
+    f"""SELECT conv_id, turn, coalesce(labels, '') AS labels FROM conversations LEFT JOIN (
+          SELECT conv_id, turn, string_agg(l, ' ' ORDER BY idx) AS labels
+          FROM ({_REPAIRED}) GROUP BY conv_id, turn) USING (conv_id, turn)""",
 )
 def bio_repair(spark: SparkSession, folder: str) -> DataFrame:
-    fixed = F.array_join(bio.repair(F.col("l")), " ")
-    return _labelled(spark, folder).filter(F.size("w") > 0).select(*_KEYS, fixed.alias("labels"))
+    """Every turn; one without words has no labels."""
+    fixed = F.coalesce(F.array_join(bio.repair(F.col("l")), " "), F.lit(""))
+    return _labelled(spark, folder).select(*_KEYS, fixed.alias("labels"))
 
 
 @check(
