@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.session import written
+from casemill.session import Stored
 
 
 def _contract(edges: DataFrame, larger: bool) -> DataFrame:
@@ -29,14 +29,16 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for every node of `edges` (a, b: long, a <> b).
 
     Nothing of the graph reaches the driver but a count and a sum for each round; every round is a
-    stored table. No edges: no rows. Nulls are not allowed, repeated edges are.
+    stored table, which replaces the one before. No edges: no rows. Nulls are not allowed, repeated
+    edges are.
     """
-    now = written(
+    tables = Stored(edges.sparkSession)
+    now = tables.put(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
     state = None
     while True:
-        now = written(_contract(_contract(now, larger=True), larger=False), "edges")
+        now = tables.put(_contract(_contract(now, larger=True), larger=False), "edges")
         found = now.agg(
             F.count("*"), F.sum(F.hash("a", "b").cast("decimal(38,0)")), F.max("a")
         ).first()

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.llm.components import components
-from casemill.session import written
+from casemill.session import Stored
 
 NGRAM_WORDS = 4
 #: Two sets are linked when 100 * intersection >= this * union.
@@ -44,10 +44,10 @@ PART_LEAST = 48
 LEVEL_RATIO = 1.25
 #: Pairs of blocks of up to so many sets are compared by themselves, not by way of a hub.
 SMALL_BLOCK = 8
+#: Index elements after which a task hands them on.
+BATCH_ELEMENTS = 50_000
 #: Copies of a hub in its join with its family.
 SALTS = 8
-#: Keys of sets that a task remembers, so as to index copies once.
-MOST_SEEN = 100_000
 
 _P1, _P2, _P3 = (
     np.array([x], dtype=np.uint64)
@@ -161,14 +161,9 @@ _SETS = pa.schema(
         ("n", pa.int64()),
         ("key1", pa.int64()),
         ("key2", pa.int64()),
-        ("elements", pa.list_(pa.int64())),
-        ("places", pa.list_(pa.int32())),
     ]
 )
-_SETS_SQL = (
-    "row long, doc_id long, text_hash long, n long, key1 long, key2 long, "
-    "elements array<long>, places array<int>"
-)
+_SETS_SQL = "row long, doc_id long, text_hash long, n long, key1 long, key2 long"
 
 
 def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -179,32 +174,18 @@ def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     )
 
 
-def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """One row for each document: a number, set size and key, and the set's index elements.
-
-    A task gives the elements of a set only for the first of its copies.
-    """
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """One row for each document: a number, set size and key."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, seen = TaskContext.get().partitionId() << 40, {}
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for doc, text_hash, text in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingles(text, words)
-                key = xxhash.xxh3_128_digest(s.tobytes())
-                found, places = None, None
-                if len(s) and key not in seen:
-                    if len(seen) >= MOST_SEEN:
-                        seen.clear()
-                    seen[key] = True
-                    found, places = elements(s, percent)
-                    found, places = found.view(np.int64), places.astype(np.int32)
-                key1, key2 = np.frombuffer(key, dtype="<i8").tolist()
-                rows.append((row, doc, text_hash, len(s), key1, key2, found, places))
+                key1, key2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8").tolist()
+                rows.append((row, doc, text_hash, len(s), key1, key2))
                 row += 1
-                if len(rows) == 500:
-                    yield _batch(rows)
-                    rows = []
             if rows:
                 yield _batch(rows)
 
@@ -249,6 +230,21 @@ def _compared(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
     return sets.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, different long")
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """row, text of the wanted rows (row, doc_id, text_hash).
+
+    Ids may be null; the hash spreads the copies of a text over the tasks. Repeated rows of a table
+    are one again where they meet, without another shuffle.
+    """
+    id_ = F.coalesce(F.col("doc_id"), F.lit(0))
+    return (
+        _documents(docs, "doc_id", "text").withColumn("id", id_)
+        .join(wanted.select("row", "text_hash", id_.alias("id")), ["id", "text_hash"])
+        .dropDuplicates(["id", "text_hash", "row"])
+        .select("row", "text")
+    )
+
+
 def _hashes(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """row, hashes (the set) of the wanted rows, from their texts."""
 
@@ -259,15 +255,38 @@ def _hashes(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 [batch.column(0), pa.array(values, pa.binary())], ["row", "hashes"]
             )
 
-    # ids may be null; they spread the copies of a text over the tasks
-    id_ = F.coalesce(F.col("doc_id"), F.lit(0))
-    found = (
-        _documents(docs, "doc_id", "text").withColumn("id", id_)
-        .join(wanted.withColumn("id", id_).drop("doc_id"), ["id", "text_hash"])
-        .dropDuplicates(["row"])
-        .select("row", "text")
-    )
-    return found.mapInArrow(hashed, "row long, hashes binary")
+    return _texts(docs, wanted).mapInArrow(hashed, "row long, hashes binary")
+
+
+def _listed(docs: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
+    """row, n, elements, places: the index elements of the wanted rows, from their texts."""
+
+    def batch_of(parts: list[tuple]) -> pa.RecordBatch:
+        sizes = [len(found) for _, _, found, _ in parts]
+        rows = np.repeat(np.array([row for row, *_ in parts], dtype=np.int64), sizes)
+        n = np.repeat(np.array([n for _, n, *_ in parts], dtype=np.int32), sizes)
+        found = np.concatenate([f.view(np.int64) for _, _, f, _ in parts])
+        places = np.concatenate([p.astype(np.int32) for *_, p in parts])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in (rows, n, found, places)], ["row", "n", "elements", "places"]
+        )
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            for row, text in zip(*(c.to_pylist() for c in batch.columns)):
+                s = shingles(text, words)
+                found, places = elements(s, percent)
+                if len(found):
+                    parts.append((row, len(s), found, places))
+                    held += len(found)
+                if held >= BATCH_ELEMENTS:
+                    yield batch_of(parts)
+                    parts, held = [], 0
+        if parts:
+            yield batch_of(parts)
+
+    return _texts(docs, wanted).mapInArrow(listed, "row long, n int, elements long, places int")
 
 
 def _deltas(in_family: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
@@ -372,47 +391,38 @@ def link(
     """
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     no_id = F.lit(2**63 - 1)
-    sets = written(_sets(docs, words, percent), "sets")
-    linkable = sets.where("n > 0")
-    holders = written(
-        linkable.groupBy("key1", "key2").agg(
+    tables = Stored(docs.sparkSession)
+    sets = tables.put(_sets(docs, words), "sets")
+    holders = tables.put(
+        sets.where("n > 0").groupBy("key1", "key2").agg(
             F.min(F.struct(F.coalesce("doc_id", no_id).alias("id"), "text_hash")).alias("least"),
-            F.min(F.when(F.col("elements").isNotNull(), F.struct("row", "doc_id", "text_hash", "n"))).alias("h"),
+            F.min(F.struct("row", "doc_id", "text_hash", "n")).alias("h"),
         ).select("key1", "key2", "least", "h.*"),
         "holders",
     )
 
-    # index lists, cut into blocks by position; lists of one set are dropped
-    listed = linkable.where("elements is not null").select(
-        "row", "n", F.expr("inline(arrays_zip(elements, places))")
-    )
+    # index lists of one set for each key, cut into blocks by position; blocks of one set are dropped
     by_place = Window.partitionBy("elements").orderBy("places", "row")
     earlier = by_place.rowsBetween(Window.unboundedPreceding, -1)
+    in_block = Window.partitionBy("elements", "block")
     reach = F.floor(F.col("n") * (100 - percent) / F.lit(percent))
-    several = (
-        listed.withColumn("last_place", F.lag("places").over(by_place))
+    several = tables.put(
+        _listed(docs, holders, words, percent)
+        .withColumn("last_place", F.lag("places").over(by_place))
         .withColumn("next_row", F.lead("row").over(by_place))
         .withColumn("reach", F.max(reach).over(earlier))
         .where("last_place is not null or next_row is not null")
         .withColumn("gap", F.coalesce(F.col("places") - F.col("last_place") > F.col("reach"), F.lit(False)))
         .withColumn("block", F.sum(F.col("gap").cast("int")).over(by_place))
-        .select("elements", "block", "places", "row", "n")
-    )
-    several = written(several, "lists")
-    # copies from different tasks are one set again; blocks of one set are dropped
-    several = (
-        several.join(linkable.select("row", "key1", "key2"), "row")
-        .join(holders.select("key1", "key2", F.col("row").alias("holder")), ["key1", "key2"])
-        .where("row = holder")
-        .select("elements", "block", "places", "row", "n")
+        .withColumn("shared", F.count("*").over(in_block))
+        .where("shared > 1")
+        .select("elements", "block", "places", "row", F.col("n").cast("long").alias("n"), "shared"),
+        "blocks",
     )
-    in_block = Window.partitionBy("elements", "block")
-    several = several.withColumn("shared", F.count("*").over(in_block)).where("shared > 1")
-    several = written(several, "blocks")
 
     # the sets behind the listed rows, from their texts again
     wanted = several.select("row").distinct().join(holders.select("row", "doc_id", "text_hash"), "row")
-    hashes = written(_hashes(docs, wanted, words), "hashes")
+    hashes = tables.put(_hashes(docs, wanted, words), "hashes")
 
     # large blocks: families, each compared with its hub; the rest follows from these answers
     large = several.where(F.col("shared") > SMALL_BLOCK)
@@ -423,9 +433,9 @@ def link(
     in_family = families.join(weight, families["node"] == weight["row"]).select(
         F.col("component").alias("family"), "row", "weight"
     )
-    deltas = written(_deltas(in_family, hashes, percent), "deltas")
+    deltas = tables.put(_deltas(in_family, hashes, percent), "deltas")
     near_hub = deltas.where("near and row <> hub").select(F.col("row").alias("a"), F.col("hub").alias("b"))
-    derived = written(_derived(deltas, percent), "derived")
+    derived = tables.put(_derived(deltas, percent), "derived")
     groups = components(near_hub.union(derived))
 
     # small blocks: pairs that are in different groups so far and not apart by their distances
@@ -452,13 +462,17 @@ def link(
         .select("a", "a_n", "b", "b_n")
         .distinct()
     )
-    rest = written(rest, "rest")
+    rest = tables.put(rest, "rest")
+    tables.drop("blocks", "deltas", "derived")
     late = _compared(rest.select("a", "b"), hashes).join(rest, ["a", "b"]).where(F.col("different") <= bound)
+    links = tables.put(late.select("a", "b"), "links")
+    tables.drop("hashes", "rest")
     groups = components(
-        written(late.select("a", "b"), "links").union(
+        links.union(
             groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         )
     )
+    tables.drop("links")
 
     named = holders.join(groups.withColumnRenamed("node", "row"), "row", "left").withColumn(
         "component", F.coalesce("component", "row")
