@@ -22,13 +22,57 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting that removes a query's shuffle files when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def store(df: DataFrame, path: str) -> None:
+    """Write a Parquet table; the shuffle files behind it go as soon as it is whole."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(_CLEANUP)
+        else:
+            conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a table in the scratch folder: cuts the lineage durably."""
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    store(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Stored:
+    """Intermediate tables of one job, each removed once nothing reads it any more.
+
+    A table may be dropped when every table made from it is stored: stored rows need no lineage, so
+    an executor lost later asks for nothing that is gone.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark = spark
+        self._paths: dict[str, str] = {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows of `df` read back from a new table; an older one of that name goes."""
+        path = scratch_dir(self._spark, name)
+        store(df, path)
+        self.drop(name)
+        self._paths[name] = path
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if path := self._paths.pop(name, None):
+                folder = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: Stored bytes of a part that needs no spreading, as the runtime sizes its own.
 PART_BYTES = 64 << 20
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casemill.llm import ngram_join, packing, quality, surrogates
-from casemill.session import scratch_dir, table
+from casemill.session import scratch_dir, store, table
 
 #: The stages train a classifier and call a tokenizer; SQL cannot express them.
 ORACLE_SQL = None
@@ -80,6 +80,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_dir(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        store(stage(spark, docs, sf_dir), path)
         docs = spark.read.parquet(path)
     return docs
