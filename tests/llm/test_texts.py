@@ -355,3 +355,21 @@ def test_quality_stage_keeps_clean_documents(spark):
     wrong = kept.join(labels.where("quality = 0"), "doc_id").count() / max(1, labels.where("quality = 0").count())
     clean = labels.where("quality = 1").join(docs, "doc_id").count()
     assert wrong <= 0.1 and kept.join(labels.where("quality = 1"), "doc_id").count() >= 0.99 * clean
+
+
+STORY = "<p>" + "This is a story, told in whole sentences. It goes on. " * 8 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<div class='has-sidebar'><article>%s</article></div>",
+        "<form id='aspnetForm'><div class='x'>%s</div></form>",
+        "<article><div class='elementor-widget-container'>%s</div></article>",
+        "<div class='post no-comments'>%s</div>",
+        "<div class='menu-open page'><nav>x</nav><div>%s</div><div class='comments'><p>I like it.</p></div></div>",
+    ],
+)
+def test_main_text_keeps_article_in_marked_elements(around):
+    page = f"<html><body>{around % STORY}<footer>Foot, note.</footer></body></html>"
+    assert main_text.extract(page) == STORY[3:-4].strip()
