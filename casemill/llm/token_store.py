@@ -21,16 +21,12 @@ from casemill.session import scratch_dir
 
 #: Ids after which a shard is closed (a document is never divided).
 SHARD_IDS = 1 << 20
-#: A pair is replaced as long as it is found this often in its shard.
-LEAST_PAIRS = 32
-#: Buckets of the pair count, as a power of two.
-BUCKET_BITS = 15
+#: Uses from which on a rule pays: it takes 12 bytes (two symbols, one length), each use saves 2 or more.
+LEAST_PAIRS = 7
+#: Symbols that fit into two bytes each.
+NARROW = 1 << 16
 #: In each round pairs are replaced that are at least this share as frequent as the top pair.
 ROUND_SHARE = 0.05
-#: The round that shortens the shard by a smaller share than this is the last.
-LEAST_GAIN = 0.01
-
-_MIX = np.array([0x9E3779B1, 0x85EBCA77, 0x2C1B3C6D], dtype=np.uint32)
 
 SHARD_SCHEMA = (
     "part int, shard int, n_tokens long, doc_ids array<long>, token_counts array<int>, "
@@ -39,57 +35,88 @@ SHARD_SCHEMA = (
 )
 
 
+def _pair_counts(keys: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs and how often each can be replaced at least; `keys` are left * symbols + right."""
+    ordered = np.sort(keys)
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    pairs, counts = ordered[first], np.diff(np.r_[first, len(ordered)])
+    twice = pairs // symbols == pairs % symbols
+    counts[twice] = (counts[twice] + 1) // 2  # a pair of equal symbols may overlap itself
+    return pairs, counts
+
+
+def _ranks(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Which of two overlapping pairs wins: the more frequent one, then by a hash, alike in all copies."""
+    mixed = (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+    ranks = np.empty(len(pairs), dtype=np.int64)
+    ranks[np.lexsort((mixed, counts))] = np.arange(len(pairs))
+    return ranks
+
+
+def _free_places(
+    keys: np.ndarray, inside: np.ndarray, pairs: np.ndarray, ranks: np.ndarray, symbols: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the sorted `pairs` that do not overlap, and which pair each place holds.
+
+    Of a pair that overlaps itself every second place from the left is free; of two pairs that
+    overlap, the one of higher rank. So the pair of the highest rank keeps all it was counted for.
+    """
+    starts = np.zeros(symbols, dtype=bool)
+    starts[pairs // symbols] = True
+    near = np.flatnonzero(starts[keys // symbols])
+    of = np.minimum(np.searchsorted(pairs, keys[near]), len(pairs) - 1)
+    own = pairs[of] == keys[near]
+    at, of = inside[near[own]], of[own]
+    place = np.arange(len(at))
+    again = np.r_[False, (np.diff(at) == 1) & (of[1:] == of[:-1])]
+    free = (place - np.maximum.accumulate(np.where(again, 0, place))) % 2 == 0
+    at, of = at[free], of[free]
+    rank, overlap = ranks[of], np.diff(at) == 1
+    loses = np.zeros(len(at), dtype=bool)
+    loses[1:] |= overlap & (rank[:-1] > rank[1:])
+    loses[:-1] |= overlap & (rank[1:] > rank[:-1])
+    return at[~loses], of[~loses]
+
+
 def compress(ids: np.ndarray, lengths: np.ndarray, least: int = LEAST_PAIRS) -> dict:
     """Grammar of `ids`, which hold documents of `lengths` one after the other.
 
+    Pairs are counted exactly in every round, and rounds go on until no pair is found `least` times
+    or symbols would need more than two bytes.
     Returns `first_rule` (symbols from there on are rules), `rules` (left, right), `rounds` (rules
     made by each round, which is also their nesting order), `expansions` (ids under each rule),
     `symbols` and `symbol_counts` (symbols of each document). No ids: no rules, no symbols.
     """
-    seq = ids.astype(np.uint32)
+    seq = ids.astype(np.int64)
     last = np.zeros(len(seq), dtype=bool)
     last[np.cumsum(lengths)[lengths > 0] - 1] = True
     first_rule = int(seq.max()) + 1 if len(seq) else 0
     rules: list[np.ndarray] = []
     rounds: list[int] = []
     weight = np.ones(first_rule, dtype=np.int64)
-    buckets, shift = 1 << BUCKET_BITS, np.uint32(32 - BUCKET_BITS)
-    before = 2 * len(seq)
-    while len(seq) > 1 and before - len(seq) >= LEAST_GAIN * before:
-        before = len(seq)
-        left, right = seq[:-1], seq[1:]
-        bucket = (left * _MIX[0]) ^ (right * _MIX[1])
-        bucket = (((bucket ^ (bucket >> np.uint32(15))) * _MIX[2]) >> shift).view(np.int32)
-        bucket[last[:-1]] = 0  # no pair goes over the end of a document; bucket 0 is not used
-        # one pair for each bucket, the one written last; then its exact count
-        left_of, right_of = (np.zeros(buckets, dtype=np.uint32) for _ in range(2))
-        left_of[bucket], right_of[bucket] = left, right
-        full = np.bincount(bucket, minlength=buckets) >= least
-        full[0] = False
-        at = np.flatnonzero(full[bucket])
-        of = bucket[at]
-        own = (left_of[of] == left[at]) & (right_of[of] == right[at])
-        at, of = at[own], of[own]
-        count = np.bincount(of, minlength=buckets)
-        top = int(count.max())
+    # a rule that makes all symbols wider does not pay
+    most = NARROW if first_rule <= NARROW else 1 << 32
+    while True:
+        symbols = len(weight)
+        inside = np.flatnonzero(~last[:-1])  # no pair goes over the end of a document
+        if not len(inside) or symbols == most:
+            break
+        keys = seq[inside] * symbols + seq[inside + 1]
+        pairs, counts = _pair_counts(keys, symbols)
+        top = int(counts.max())
         if top < least:
             break
-        chosen = count[of] >= max(least, int(top * ROUND_SHARE))
-        at, of = at[chosen], of[chosen]
-        # of overlapping pairs every second one from the left
-        place = np.arange(len(at))
-        run_start = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) != 1], place, 0))
-        free = (place - run_start) % 2 == 0
-        at, of = at[free], of[free]
-        kept = np.bincount(of, minlength=buckets)
-        worth = kept >= min(least, int(kept.max()))
+        chosen = np.flatnonzero(counts >= max(least, int(top * ROUND_SHARE)))
+        ranks = _ranks(pairs[chosen], counts[chosen])
+        enough = ranks >= len(ranks) - (most - symbols)
+        chosen, ranks = pairs[chosen[enough]], ranks[enough]
+        at, of = _free_places(keys, inside, chosen, ranks, symbols)
+        worth = np.bincount(of, minlength=len(chosen)) >= least
         at, of = at[worth[of]], of[worth[of]]
-        found = np.flatnonzero(worth & (kept > 0))
-        name = np.zeros(buckets, dtype=np.uint32)
-        name[found] = len(weight) + np.arange(len(found))
-        made = np.stack([left_of[found], right_of[found]], axis=1).astype(np.int64)
+        made = np.stack([chosen[worth] // symbols, chosen[worth] % symbols], axis=1)
+        name = symbols + np.cumsum(worth) - 1
         rules.append(made)
-        rounds.append(len(found))
+        rounds.append(len(made))
         weight = np.r_[weight, weight[made[:, 0]] + weight[made[:, 1]]]
         seq[at] = name[of]
         last[at] = last[at + 1]
@@ -104,7 +131,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, least: int = LEAST_PAIRS) ->
         "rules": np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64),
         "rounds": rounds,
         "expansions": weight[first_rule:],
-        "symbols": seq,
+        "symbols": seq.astype(np.uint32),
         "symbol_counts": counts,
     }
 
@@ -138,12 +165,23 @@ class Shard:
         self.rules = np.frombuffer(row["rules"], dtype="<u4").astype(np.int64).reshape(-1, 2)
         self.rounds = row["rounds"]
         self.expansions = np.frombuffer(row["expansions"], dtype="<u4").astype(np.int64)
-        wide = "<u2" if self.first_rule + len(self.rules) <= 1 << 16 else "<u4"
+        wide = "<u2" if self.first_rule + len(self.rules) <= NARROW else "<u4"
         self.symbols = np.frombuffer(row["symbols"], dtype=wide)
         self.bounds = np.r_[0, np.cumsum(np.asarray(row["symbol_counts"], dtype=np.int64))]
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.first_rule, self.rules, self.rounds)
+        """All ids, gathered at once from a table of what each used rule expands to."""
+        used = np.unique(self.symbols[self.symbols >= self.first_rule]).astype(np.int64)
+        table = expand(used, self.first_rule, self.rules, self.rounds)
+        sizes = self.expansions[used - self.first_rule]
+        size_of = np.ones(self.first_rule + len(self.rules), dtype=np.int64)
+        start_of = np.arange(len(size_of))
+        size_of[used] = sizes
+        start_of[used] = self.first_rule + np.cumsum(sizes) - sizes
+        table = np.r_[np.arange(self.first_rule), table]
+        size = size_of[self.symbols]
+        before = np.cumsum(size) - size
+        return table[np.repeat(start_of[self.symbols] - before, size) + np.arange(int(size.sum()))]
 
     def document(self, i: int) -> np.ndarray:
         part = self.symbols[self.bounds[i] : self.bounds[i + 1]]
@@ -167,7 +205,7 @@ def _row(part: int, shard: int, docs: list, chunks: list[bytes]) -> dict:
     lengths = np.array([len(c) // 4 for c in chunks], dtype=np.int64)
     ids = np.frombuffer(b"".join(chunks), dtype="<u4")
     g = compress(ids, lengths)
-    wide = "<u2" if g["first_rule"] + len(g["rules"]) <= 1 << 16 else "<u4"
+    wide = "<u2" if g["first_rule"] + len(g["rules"]) <= NARROW else "<u4"
     return {
         "part": part,
         "shard": shard,

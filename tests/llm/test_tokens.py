@@ -128,6 +128,45 @@ def test_grammar_round_trip(documents):
     assert weights == g["expansions"].tolist()
 
 
+def most_replaceable(symbols, counts):
+    """Greatest number of uses that any pair inside a document has, overlaps of equal symbols halved."""
+    found, at = Counter(), 0
+    for n in counts:
+        doc = [int(x) for x in symbols[at : at + n]]
+        at += n
+        found.update(zip(doc, doc[1:]))
+    return max(((n + 1) // 2 if a == b else n for (a, b), n in found.items()), default=0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=40), max_size=8), st.integers(2, 7))
+def test_grammar_ends_when_no_rule_pays(docs, least):
+    ids = np.array([x for d in docs for x in d], dtype="<u4")
+    lengths = np.array([len(d) for d in docs], dtype=np.int64)
+    g = token_store.compress(ids, lengths, least=least)
+    assert most_replaceable(g["symbols"], g["symbol_counts"]) < least
+    shard = token_store.Shard(token_store._row(0, 0, list(range(len(docs))), [i.tobytes() for i in np.split(ids, np.cumsum(lengths)[:-1])] if docs else []))
+    assert shard.ids().tolist() == ids.tolist()
+
+
+def test_grammar_of_copies_takes_few_rounds():
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 5000, 400)
+    docs = [np.r_[rng.integers(0, 5000, 30 + k), passage, rng.integers(0, 5000, 20)] for k in range(9)]
+    lengths = np.array([len(d) for d in docs])
+    g = token_store.compress(np.concatenate(docs), lengths)
+    assert len(g["rounds"]) < 40 and len(g["symbols"]) < lengths.sum() - 8 * 380
+
+
+def test_rules_never_widen_the_symbols(monkeypatch):
+    monkeypatch.setattr(token_store, "NARROW", 12)
+    ids = np.array([0, 1, 2, 3] * 50 + [4, 5, 6, 7] * 40)
+    g = token_store.compress(ids, np.array([len(ids)]), least=2)
+    assert g["first_rule"] + len(g["rules"]) == 12
+    assert token_store.expand(g["symbols"], g["first_rule"], g["rules"], g["rounds"]).tolist() == ids.tolist()
+
+
+
 def packed_right(rows, documents, size=2048):
     want = Counter()
     for i, text in documents:
