@@ -18,13 +18,14 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
-#: Entries of one generation of a worker's table; about 200 bytes each, two generations are held.
-MOST_CHUNKS = 250_000
+#: Entries of one generation of a worker's table; about 150 bytes each, two generations are held.
+MOST_CHUNKS = 500_000
 #: Longer chunks (bytes) are encoded each time instead of being kept.
 LONGEST_KEPT = 48
 
 #: How that tokenizer divides lower-cased ASCII (a fixed value of its file).
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_ASCII_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _LETTERS_THEN_MARKS = re.compile(r"([^\W\d_]+)([!-&*-/:;=>?@]*)")
 
 
@@ -54,37 +55,36 @@ class WordIds(dict):
     def __init__(self, path: str | None = None) -> None:
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path or public_tokenizers.path(WORD_BPE))
-        self._model = self._tokenizer.model
+        self._pieces = self._tokenizer.model.tokenize
         self._old: dict[bytes, bytes] = {}
-        self._words: dict[str, bytes] = {}
-        self._old_words: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> bytes:
-        value = self._words.get(word)
-        if value is None:
-            value = self._old_words.get(word)
-            if value is None:
-                letters = word
-                if not word.isascii():
-                    letters = word.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
-                value = _packed([token.id for token in self._model.tokenize(letters)])
-            if len(word) <= LONGEST_KEPT:
-                if len(self._words) >= MOST_CHUNKS:
-                    self._old_words, self._words = self._words, {}
-                self._words[word] = value
-        return value
+    def _word(self, letters: str) -> bytes:
+        """Ids of one word or run of marks, in the letters of the vocabulary."""
+        return _packed([piece.id for piece in self._pieces(letters)])
 
     def _made(self, chunk: bytes) -> bytes:
         if chunk.isascii():
-            text = chunk.decode("ascii").lower()
+            low = chunk.lower()
+            if low.isalpha():
+                return self._word(low.decode("ascii")) if low == chunk else self[low]
+            word = low.rstrip(_ASCII_MARKS)
+            if word.isalpha():
+                return self[word] + self[low[len(word) :]]
+            text = low.decode("ascii")
             if text.isprintable() and "<|" not in text:
-                return b"".join(map(self._word, _ASCII_WORDS.findall(text)))
+                parts = _ASCII_WORDS.findall(text)
+                if len(parts) == 1:
+                    return self._word(text)
+                return b"".join([self[part.encode("ascii")] for part in parts])
         text = chunk.decode("utf-8")
         if parts := _LETTERS_THEN_MARKS.fullmatch(text):
             word = parts[1].lower()
             if word.isalpha() and parts[1].isalpha() and max(parts[1]) < _LATIN_END:
                 if unicodedata.is_normalized("NFC", parts[1]):
-                    return self._word(word) + (self._word(parts[2]) if parts[2] else b"")
+                    if word != text:
+                        marks = parts[2].encode("ascii")
+                        return self[word.encode("utf-8")] + (self[marks] if marks else b"")
+                    return self._word(chunk.decode("latin-1").translate(_BYTE_LETTERS))
         ids = self._tokenizer.encode(text, add_special_tokens=False).ids
         return _packed(ids)
 
