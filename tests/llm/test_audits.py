@@ -243,6 +243,29 @@ def test_held_out_labels_are_not_read(spark, small):
     assert one == two
 
 
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    for name in ("MODEL_DOCS", "CALIBRATION_DOCS"):  # the sizes of a former sample
+        monkeypatch.setattr(toxicity, name, 5, raising=False)
+    labels = spark.range(3000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic").union(
+        spark.createDataFrame([(1, 1), (None, 1), (3, None)], "doc_id long, toxic int"))
+    wanted = {k for k in range(3000) if zlib.crc32(str(k).encode()) % 5}
+    rows = toxicity.labelled(labels).collect()
+    assert len(rows) == len(wanted) and {r.doc_id for r in rows} == wanted
+    assert all(r.fitting == (zlib.crc32(str(r.doc_id).encode()) % 5 != 4) for r in rows)
+
+
+def test_toxicity_calibration_is_the_penalised_optimum(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 2)) * [1.0, 0.2] + [0.5, 0.1]
+    y = (x[:, 0] + rng.normal(size=500) > 0.8).astype(int)
+    model = toxicity.Model(*(np.zeros(0, dtype=np.int64),) * 3)
+    model.calibrate(spark.createDataFrame([(int(t), *map(float, v)) for t, v in zip(y, x)], "y int, mean double, strong double"))
+    z = np.hstack([(x - x.mean(axis=0)) / x.std(axis=0), np.ones((500, 1))])
+    p = 1 / (1 + np.exp(-z @ model.slopes))
+    slope = z.T @ (y - p) - 500 * np.array([toxicity.PENALTY, toxicity.PENALTY, 1e-6]) * model.slopes
+    assert np.abs(slope).max() < 1e-6
+
+
 def test_toxicity_edge_cases(spark, edge, nothing):
     labels = spark.createDataFrame(
         [(i, i % 2 if i != 3 else None) for i in range(-11, 11)] + [(None, 1), (4, 0), (4, 0)],
