@@ -238,6 +238,35 @@ def test_model_edges(spark, edge, nothing):
     assert QUERIES["op6_masked_lm"](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
 
 
+def test_model_predicts_words(spark, monkeypatch):
+    """Words of one class are told apart, by counts of the corpus; the shares of a class sum to one."""
+    pair = {}
+    for k in range(100_000):
+        first = pair.setdefault(int(masked_lm.classes(f"w{k}")[0]), f"w{k}")
+        if first != f"w{k}":
+            break
+    often, rare = first, f"w{k}"
+    frame = spark.createDataFrame([(1, f"x {often} y"), (2, f"x {rare} y"), *[(3, often)] * 8], "doc_id long, text string")
+    shares = masked_lm.vocabulary(frame).collect()
+    total = Counter()
+    for r in shares:
+        total[int(masked_lm.classes(bytes(r.word).decode())[0])] += np.exp(r.share)
+    assert len(shares) == 4 and list(total.values()) == pytest.approx([1.0] * len(total))
+    for held in (masked_lm.MOST_HELD, 1, 0):  # from the workers' table and by the join
+        monkeypatch.setattr(masked_lm, "MOST_HELD", held)
+        got = {r.doc_id: r.log_likelihood for r in masked_lm.score(frame).collect()}
+        assert got[1] - got[2] == pytest.approx(np.log(9), abs=1e-4)
+
+
+def test_model_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "UNIT_WORDS", 2000)
+    frame = spark.createDataFrame([(k, prose(k, 100)) for k in range(80)], "doc_id long, text string")
+    first, second = (
+        {r.doc_id: r.log_likelihood for r in masked_lm.score(frame.repartition(n)).collect()} for n in (2, 7)
+    )
+    assert first == pytest.approx(second, rel=1e-9)
+
+
 def article_of(page):
     inside = re.search(r"<article>(.*)</article>", page, re.S)[1]
     inside = re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1|br)[^>]*>", " ", inside))
