@@ -254,6 +254,19 @@ def test_toxicity_learns_from_every_label(spark, monkeypatch):
     assert all(r.fitting == (zlib.crc32(str(r.doc_id).encode()) % 5 != 4) for r in rows)
 
 
+def test_toxicity_gathers_columns_and_joins_alike_at_every_size(spark, monkeypatch):
+    """The byte sequences come to the driver as Arrow columns, and no plan hangs on the size of the labels."""
+    frame = spark.createDataFrame([(k, f"some words {k}") for k in range(20)], "doc_id long, text string")
+    labels = frame.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    plans = []
+    monkeypatch.setattr(type(frame), "toPandas", lambda self: pytest.fail("row objects on the driver"))
+    kept = toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().toString())) or kept(df, name))
+    assert len(toxicity.fit(frame, labels).seen)
+    plan = dict(plans)["labelled"]
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_toxicity_calibration_is_the_penalised_optimum(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(500, 2)) * [1.0, 0.2] + [0.5, 0.1]
