@@ -23,11 +23,20 @@ def on_distinct(
 ) -> DataFrame:
     """Add costly functions of a text column, computed once per distinct text.
 
-    The copies of one text are joined back by the text; null texts get null results.
+    The copies of one text are joined back by the text; null texts get null results. The optimizer
+    moves a later filter on a result, or one for null texts, below the distinct step and so computes
+    it for every row; it does not move a filter below an explode, here of one element.
     """
-    texts = for_costly_rows(df.select(F.col(column).alias("_text")).dropna().distinct())
-    scored = texts.select("_text", *[f(F.col("_text")).alias(n) for n, f in results.items()])
-    return df.join(scored, F.col(column) == F.col("_text"), "left").drop("_text")
+    keyed = df.withColumn("_key", _once(F.col(column)))
+    texts = for_costly_rows(df.select(_once(F.col(column)).alias("_text")).dropna().distinct())
+    scored = texts.select("_text", *[f(F.col("_text")).alias(f"_r{i}") for i, f in enumerate(results.values())])
+    found = F.struct(*[F.col(f"_r{i}").alias(n) for i, n in enumerate(results)])
+    scored = scored.select("_text", _once(found).alias("_found")).select("_text", "_found.*")
+    return keyed.join(scored, F.col("_key") == F.col("_text"), "left").drop("_key", "_text")
+
+
+def _once(value: Column) -> Column:
+    return F.explode_outer(F.array(value))
 
 
 def manual_labels(df: DataFrame, labels: DataFrame, text: str, out: str) -> DataFrame:

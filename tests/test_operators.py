@@ -290,3 +290,15 @@ def test_histological_type_keeps_every_row(spark, monkeypatch):
     monkeypatch.setattr(labels, "histology_with_annotations", lambda *a: rows)
     done = training.histological_type(rows, rows, 4, max_iter=5)
     assert done.validation.count() == 12
+
+
+def test_on_distinct_computes_once_a_text_below_a_filter(spark):
+    """A later filter on the result is not moved below the distinct step, where it would run for every row."""
+    rows = spark.createDataFrame([(1, "abcd"), (2, "abcd"), (3, None), (None, "ab"), (3, None)], "id int, t string")
+    df = joins.on_distinct(rows, "t", {"r": lambda c: F.when(F.length(c) > 3, F.upper(c))})
+    assert df.columns == ["id", "t", "r"]
+    got = sorted((r.id or 0, r.t or "", r.r or "") for r in df.collect())
+    assert got == [(0, "ab", ""), (1, "abcd", "ABCD"), (2, "abcd", "ABCD"), (3, "", ""), (3, "", "")]
+    kept = df.dropna(subset=["r"])
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+    assert kept.count() == 2
