@@ -12,7 +12,7 @@ from casemill.checks.text import _MACRO, _SPANS
 from casemill.functions import forms as form_functions
 from casemill.operators import counts, evaluate, filters, forms, joins, labels, rollup
 from casemill.plans import dataset, preprocess
-from casemill.session import scratch_dir, spread, table
+from casemill.session import scratch_dir, spread, table, written
 from casemill.sources import readers, writers
 
 _REPORTS = derive.reports_cte()
@@ -603,8 +603,9 @@ def _leaf_rows() -> str:
 
 
 def _parsed(spark: SparkSession, folder: str) -> DataFrame:
+    # stored first: after the numbering's join neither sizes nor parts tell how many rows there are
     build = lambda: forms.both_layouts(
-        spread(_study_forms(spark, folder)), "value", _manual(spark)
+        spread(written(_study_forms(spark, folder), "study-forms")), "value", _manual(spark)
     )
     return derive.once(spark, folder, "both-layouts", build)
 

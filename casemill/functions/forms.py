@@ -7,7 +7,7 @@ section. Whole layouts are assembled in `operators.forms`.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -105,17 +105,20 @@ def intervention_raw(c: Column) -> Column:
 
     A second line that is already the next field gives null.
     """
-    body = lines(F.substring(c, F.instr(c, K.FORM_START), F.length(c)))
-
-    def pick(ls: Column) -> Column:
-        first = T.strip(F.replace(F.get(ls, 0), F.lit(K.FORM_START), F.lit("")))
-        second = F.get(ls, 1)
+    body = F.substring(c, F.instr(c, K.FORM_START), F.length(c))
+    found = F.struct(body.alias("body"), F.substring_index(body, "\n", 1).alias("line"))
+
+    def pick(p: Column) -> Column:
+        # only two lines are needed: all others stay uncut
+        first = T.strip(F.replace(T.strip(p["line"]), F.lit(K.FORM_START), F.lit("")))
+        rest = F.ltrim(F.substr(p["body"], F.length(p["line"]) + 1), F.lit(K.WHITESPACE))
+        second = T.blank_to_null(T.strip(F.substring_index(rest, "\n", 1)))
         next_field = F.lit(False)
         for mark in K.NEXT_FIELD_MARKS:
             next_field = next_field | F.contains(second, F.lit(mark))
         return F.when(first != "", first).when(~next_field, second)
 
-    return F.when(F.contains(c, F.lit(K.FORM_START)), T.clean_hard(T.bind(body, pick)))
+    return F.when(F.contains(c, F.lit(K.FORM_START)), T.clean_hard(T.bind(found, pick)))
 
 
 def tumor_size_location(c: Column) -> tuple[Column, Column]:
@@ -175,11 +178,15 @@ def node_levels(c: Column) -> Column:
     return F.when(F.size(kept) > 0, F.map_from_entries(kept))
 
 
+def _stripped_lines(c: Column, wanted: Callable[[Column], Column]) -> Column:
+    """The wanted lines, stripped; `wanted` must not depend on white space at the ends."""
+    return F.transform(F.filter(F.split(c, "\n"), wanted), T.strip)
+
+
 def hormone(c: Column) -> list[Column]:
     """re and rp of the last result line; rp may come from an earlier line."""
-    rows = F.filter(
-        F.transform(F.split(c, "\n"), T.strip),
-        lambda x: F.contains(x, F.lit("resultado:")) & F.contains(x, F.lit("re:")),
+    rows = _stripped_lines(
+        c, lambda x: F.contains(x, F.lit("resultado:")) & F.contains(x, F.lit("re:"))
     )
     with_rp = F.filter(rows, lambda x: F.contains(x, F.lit("rp:")))
 
@@ -192,9 +199,7 @@ def hormone(c: Column) -> list[Column]:
 
 def her2(c: Column) -> list[Column]:
     """result and score of the last result line; the score may come from an earlier line."""
-    rows = F.filter(
-        F.transform(F.split(c, "\n"), T.strip), lambda x: F.contains(x, F.lit("resultado:"))
-    )
+    rows = _stripped_lines(c, lambda x: F.contains(x, F.lit("resultado:")))
     with_score = F.filter(rows, lambda x: F.contains(x, F.lit("(puntuación:")))
 
     def part(x: Column, n: int) -> Column:
@@ -218,14 +223,18 @@ def stage(c: Column) -> list[Column]:
 
 
 def layout2_fields(c: Column) -> dict[str, Column]:
-    """The numbered fields; each ends at any other numbered title or a numbered end of text."""
+    """The numbered fields; each ends at any other numbered title or a numbered end of text.
+
+    One search for any numbered title comes first: a text of the other layout has none.
+    """
+    numbered = F.regexp_like(c, F.lit(rf"{K.NUMBERED}(?:" + "|".join(K.LAYOUT2_TITLES.values()) + ")"))
     found = {}
     for name, title in K.LAYOUT2_TITLES.items():
         others = [t for n, t in K.LAYOUT2_TITLES.items() if n != name] + [K.LAYOUT2_LAST]
         pattern = (
             rf"{K.NUMBERED}{title}:?{K.SPACE}*([\s\S]*?){K.NUMBERED}(?:" + "|".join(others) + ")"
         )
-        found[name] = _found(c, pattern, 1)
+        found[name] = F.when(numbered, _found(c, pattern, 1))
     return found
 
 

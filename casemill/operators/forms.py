@@ -43,8 +43,12 @@ def layout1(
     All fields are parsed before the joins by intervention text: a text that very many forms
     share then moves parsed rows only, and no parsing waits on its partition.
     """
-    kept = df.columns
-    df = df.withColumn("_t", forms.prepare(F.col(f"`{form_text}`")))
+    return _layout1(df.withColumn("_t", forms.prepare(F.col(f"`{form_text}`"))), manual, out)
+
+
+def _layout1(df: DataFrame, manual: DataFrame | None, out: str) -> DataFrame:
+    """`layout1` of the prepared text `_t`, which is left out of the result."""
+    kept = [c for c in df.columns if c != "_t"]
     df = df.withColumns(
         {f"_s_{key}": forms.section("_t", titles) for key, titles in K.SECTIONS.items()}
     )
@@ -148,11 +152,11 @@ def both_layouts(df: DataFrame, form_text: str, manual: DataFrame | None = None)
 
     The interventions, which both layouts read the same way, are computed once.
     """
-    second = forms.layout2_fields(F.col("_p"))
-    both = df.withColumn("_p", forms.prepare(F.col(f"`{form_text}`"))).withColumns(
+    second = forms.layout2_fields(F.col("_t"))
+    both = df.withColumn("_t", forms.prepare(F.col(f"`{form_text}`"))).withColumns(
         {f"_g_{n}": c for n, c in second.items()}
     )
-    wide = layout1(both.drop("_p"), form_text, manual, "_first")
+    wide = _layout1(both, manual, "_first")
     whole = wide.schema["_first"].dataType
     tumor = whole["tumor_features"].dataType.fields
     extra = [n for n in second if n not in {f.name for f in tumor}]

@@ -302,3 +302,35 @@ def test_on_distinct_computes_once_a_text_below_a_filter(spark):
     kept = df.dropna(subset=["r"])
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
     assert kept.count() == 2
+
+
+def test_study_forms_are_stored_before_the_parse(spark, folder, monkeypatch):
+    """The parse reads evenly dealt stored rows, not the numbering's join again for each branch."""
+    from casemill.checks import forms as form_checks
+
+    plans = []
+
+    def parsed(rows, *_):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return rows
+
+    monkeypatch.setattr(form_checks.forms, "both_layouts", parsed)
+    monkeypatch.setattr(form_checks.derive, "once", lambda spark, folder, name, build: build())
+    monkeypatch.setattr(form_checks, "_reports", lambda spark, folder: spark.createDataFrame(
+        [(1, "s", "Tipo de intervención: x", None)], "row_seq long, study string, extra string, notes string"
+    ))
+    form_checks._parsed(spark, folder)
+    assert "Window" not in plans[0] and "Join" not in plans[0] and "Repartition" in plans[0]
+
+
+def test_intervention_reads_two_lines(spark):
+    from casemill.functions import forms as functions
+
+    start = "tipo de intervención:"
+    texts = [
+        f"nota\n{start}  exeresis \r\n resto", f"{start}\n \x85\n\t\n  mrm  \n otra", f"{start}\n nº biopsias 3",
+        f"{start}", f"{start} \n \n", "otra", None, f"{start} {start}\nmrm",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    found = [r[0] for r in rows.select(functions.intervention_raw(functions.prepare(F.col("t")))).collect()]
+    assert found == ["exeresis", "mrm", None, None, None, None, None, "mrm"]
