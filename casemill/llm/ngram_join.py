@@ -15,7 +15,8 @@ Sets that share large blocks are a family. Each is compared with the family's hu
 shares the most places; the answers of all others are derived from the hub's: what two sets differ
 in follows from what each differs in from the hub, and only sets whose small differences share a
 rare n-gram are looked at. Pairs of small blocks are compared themselves unless they are in one
-group already or their distances from the hub exclude a link.
+group already or their distances from the hub or their sketches exclude a link: a pair that a
+sketch rules out moves no set.
 """
 
 from __future__ import annotations
@@ -153,6 +154,28 @@ def elements(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndar
     return np.concatenate([e for e, _ in found]), np.concatenate([p for _, p in found])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the number of n-grams in each of two to four times as many slots as the set has n-grams."""
+    slots = max(8, 1 << (2 * len(s)).bit_length())
+    odd = np.bincount((s & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_different(x: bytes, y: bytes) -> int:
+    """Elements outside the intersection at least, by the sketches of two sets.
+
+    An element of both sets changes a slot in both, an element of one set alone changes one slot in
+    one: so no more slots differ than elements. The finer sketch is folded to the other's size.
+    """
+    if len(x) < len(y):
+        x, y = y, x
+    fine, slots = int.from_bytes(x, "little"), 8 * len(x)
+    while slots > 8 * len(y):
+        slots //= 2
+        fine = (fine >> slots) ^ (fine & ((1 << slots) - 1))
+    return (fine ^ int.from_bytes(y, "little")).bit_count()
+
+
 _SETS = pa.schema(
     [
         ("row", pa.int64()),
@@ -211,6 +234,21 @@ def _can_link(percent: int) -> Column:
     return before + after <= _most_different(F.col("a_n"), F.col("b_n"), percent)
 
 
+def _not_apart(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, a_n, b, b_n) whose sketches do not rule out a link: no set moves for the others."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, a_n, _, b_n, x, y = (c.to_pylist() for c in batch.columns)
+            kept = [least_different(*p) <= most_different(m, n, percent) for m, n, *p in zip(a_n, b_n, x, y)]
+            yield batch.select(["a", "a_n", "b", "b_n"]).filter(pa.array(kept, pa.bool_()))
+
+    both = pairs.join(
+        hashes.select(F.col("row").alias("a"), F.col("sketch").alias("x")), "a"
+    ).join(hashes.select(F.col("row").alias("b"), F.col("sketch").alias("y")), "b")
+    return both.select("a", "a_n", "b", "b_n", "x", "y").mapInArrow(near, "a long, a_n long, b long, b_n long")
+
+
 def _compared(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
     """a, b, different (elements outside the intersection) by the sets themselves."""
 
@@ -246,16 +284,17 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _hashes(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """row, hashes (the set) of the wanted rows, from their texts."""
+    """row, hashes (the set), sketch of the wanted rows, from their texts."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [shingles(t, words).tobytes() for t in batch.column(1).to_pylist()]
+            sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            values = [[s.tobytes() for s in sets], [sketch(s) for s in sets]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values, pa.binary())], ["row", "hashes"]
+                [batch.column(0), *[pa.array(v, pa.binary()) for v in values]], ["row", "hashes", "sketch"]
             )
 
-    return _texts(docs, wanted).mapInArrow(hashed, "row long, hashes binary")
+    return _texts(docs, wanted).mapInArrow(hashed, "row long, hashes binary, sketch binary")
 
 
 def _listed(docs: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
@@ -299,6 +338,7 @@ def _deltas(in_family: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
         F.max(F.struct("weight", F.negative("row").alias("row"))).alias("hub")
     )
     hubs = hubs.select("family", F.negative("hub.row").alias("hub"))
+    hashes = hashes.select("row", "hashes")
     hub_sets = hubs.join(hashes.withColumnRenamed("row", "hub"), "hub").select(
         "family", "hub", F.col("hashes").alias("hub_hashes"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     )
@@ -464,9 +504,11 @@ def link(
     )
     rest = tables.put(rest, "rest")
     tables.drop("blocks", "deltas", "derived")
+    rest = tables.put(_not_apart(rest, hashes, percent), "near")
+    tables.drop("rest")
     late = _compared(rest.select("a", "b"), hashes).join(rest, ["a", "b"]).where(F.col("different") <= bound)
     links = tables.put(late.select("a", "b"), "links")
-    tables.drop("hashes", "rest")
+    tables.drop("hashes", "near")
     groups = components(
         links.union(
             groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))

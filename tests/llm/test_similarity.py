@@ -265,3 +265,35 @@ def test_neighbours_edges(spark):
     ]
     assert neighbours.search(frame.limit(0)).collect() == []
     assert neighbours.search(frame.where("vec_id = 0")).collect() == []
+
+
+def test_sketches_bound_what_sets_differ_in():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 60, 500, 3000):
+        for share in (0.0, 0.05, 0.2, 0.6):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            b = np.unique(np.r_[a[int(n * share) :], rng.integers(0, 2**63, int(n * share)).astype(np.uint64)])
+            b = b if n < 7 else b[: len(b) - len(b) // 9]  # another size, at times another number of slots
+            different = len(np.setxor1d(a, b))
+            least = ngram_join.least_different(ngram_join.sketch(a), ngram_join.sketch(b))
+            assert least == ngram_join.least_different(ngram_join.sketch(b), ngram_join.sketch(a))
+            assert 0.6 * min(different, n) <= least <= different
+
+
+def test_pairs_far_apart_move_no_sets(spark, monkeypatch):
+    """Pairs of a shared passage that are far from linked are left out before sets are joined."""
+    rng = np.random.default_rng(6)
+    passage = [f"p{i}" for i in range(300)]
+    texts = [" ".join(passage + [f"w{x}" for x in rng.integers(0, 10**9, 300)]) for _ in range(6)]
+    texts.append(texts[0] + " one more")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, compared = [], ngram_join._compared
+
+    def counted(pairs, hashes):
+        seen.append(pairs.count())
+        return compared(pairs, hashes)
+
+    monkeypatch.setattr(ngram_join, "_compared", counted)
+    found = {r.doc_id: r.component_id for r in ngram_join.link(docs, words=5, percent=80).collect()}
+    assert found == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0}
+    assert seen == [1]
