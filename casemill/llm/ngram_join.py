@@ -49,6 +49,8 @@ SMALL_BLOCK = 8
 BATCH_ELEMENTS = 50_000
 #: Copies of a hub in its join with its family.
 SALTS = 8
+#: Pairs of a set that the first round compares within a family.
+ROUND_PAIRS = 8
 
 _P1, _P2, _P3 = (
     np.array([x], dtype=np.uint64)
@@ -374,46 +376,70 @@ def _deltas(in_family: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
 
 
 def _derived(deltas: DataFrame, percent: int) -> DataFrame:
-    """a, b: linked pairs of a family of which one at least is not linked with the hub.
+    """a, a_n, b, b_n: pairs of a family that may be linked, of which one at least is not linked with the hub.
 
     For two sets x, y with deltas X, Y to the hub, |x - y| = |X| + |Y| - 2 |X and Y|. So if one is
     not linked with the hub and the two are linked, their deltas must share an element, and one of
     a prefix as long as linked sets may differ. Elements that are rare in the family come first.
+    A posting is a row's number and sizes: no delta moves with it.
     """
     prefix = F.floor(F.col("n") * (100 - percent) / F.lit(percent)) + 1
     far = F.size("delta")
+    sizes = deltas.select("row", "n", "near", "added", (far - F.col("added")).alias("lost"), far.alias("far"))
     listed = deltas.where(far > 0).select(
-        "family", "row", "added", (far - F.col("added")).alias("lost"), prefix.alias("prefix"),
+        "family", "row", "added",
         F.posexplode(F.when(F.col("added") >= prefix, F.slice("delta", F.lit(1), F.col("added").cast("int"))).otherwise(F.col("delta"))).alias("at", "element"),
-    )
+    ).select("family", "row", "element", (F.col("at") >= F.col("added")).alias("of_hub"))
     of_element, of_row = Window.partitionBy("family", "element"), Window.partitionBy("row", "of_hub")
     ranked = (
         listed.withColumn("rows", F.count("*").over(of_element))
         .where("rows > 1")
-        .withColumn("of_hub", F.col("at") >= F.col("added"))
+        .join(sizes, "row")
         .withColumn("common", F.count("*").over(of_row))
         .withColumn("place", F.row_number().over(of_row.orderBy("rows", "element")) - 1)
     )
     before = F.when(F.col("of_hub"), F.col("added") + F.col("lost") - F.col("common")).otherwise(
         F.col("added") - F.col("common")
     )
-    postings = ranked.where(before + F.col("place") < F.col("prefix")).select("row", "element")
-    sets = postings.join(deltas.select("family", "row", "n", "near", "delta"), "row")
-    side = lambda p: sets.select(
+    postings = ranked.where(before + F.col("place") < prefix)
+    side = lambda p: postings.select(
         "family", "element", F.col("row").alias(p), F.col("n").alias(f"{p}_n"),
-        F.col("near").alias(f"{p}_near"), F.col("delta").alias(f"{p}_delta"),
+        F.col("near").alias(f"{p}_near"), F.col("far").alias(f"{p}_far"),
     )
-    a, b = F.size("a_delta"), F.size("b_delta")
-    bound = _most_different(F.col("a_n"), F.col("b_n"), percent)
-    linked = (
+    possible = (
         ~F.col("a_near")
         & (F.col("b_near") | (F.col("a") < F.col("b")))
-        & (F.abs(a - b) <= bound)
-        & (a + b - 2 * F.size(F.array_intersect("a_delta", "b_delta")) <= bound)
+        & (F.abs(F.col("a_far") - F.col("b_far")) <= _most_different(F.col("a_n"), F.col("b_n"), percent))
     )
     left, right = side("a"), side("b")
     on = (left["family"] == right["family"]) & (left["element"] == right["element"])
-    return left.join(right, on & linked).select("a", "b").distinct()
+    return left.join(right, on & possible).select("a", "a_n", "b", "b_n").distinct()
+
+
+def _linked(pairs: DataFrame, near_hub: DataFrame, hashes: DataFrame, percent: int, tables: Stored) -> DataFrame:
+    """a, b: links among `pairs` that, with `near_hub`, lead to the same groups as all links.
+
+    The first round compares up to `ROUND_PAIRS` pairs of each set, each later one twice as many; of the
+    others those within one group by then need no answer, so their sets do not move.
+    """
+    bound = _most_different(F.col("a_n"), F.col("b_n"), percent)
+    links, rest, most = pairs.select("a", "b").limit(0), pairs, ROUND_PAIRS
+    while not rest.isEmpty():
+        turn = rest.withColumn("turn", F.row_number().over(Window.partitionBy("a").orderBy("b")))
+        now = turn.where(F.col("turn") <= most).drop("turn")
+        found = _compared(now.select("a", "b"), hashes).join(now, ["a", "b"]).where(F.col("different") <= bound)
+        links = tables.put(links.union(found.select("a", "b")), "derived")
+        later = tables.put(turn.where(F.col("turn") > most).drop("turn"), "later")
+        if later.isEmpty():
+            break
+        groups = components(near_hub.union(links))
+        in_a, in_b = (groups.select(F.col("node").alias(p), F.col("component").alias(f"{p}_in")) for p in "ab")
+        apart = later.join(in_a, "a", "left").join(in_b, "b", "left").where(
+            F.coalesce("a_in", "a") != F.coalesce("b_in", "b")
+        )
+        rest = tables.put(apart.select(*pairs.columns), "rest")
+        most *= 2
+    return links
 
 
 def link(
@@ -475,7 +501,9 @@ def link(
     )
     deltas = tables.put(_deltas(in_family, hashes, percent), "deltas")
     near_hub = deltas.where("near and row <> hub").select(F.col("row").alias("a"), F.col("hub").alias("b"))
-    derived = tables.put(_derived(deltas, percent), "derived")
+    possible = tables.put(_derived(deltas, percent), "possible")
+    possible = tables.put(_not_apart(possible, hashes, percent), "possible")
+    derived = _linked(possible, near_hub, hashes, percent, tables)
     groups = components(near_hub.union(derived))
 
     # small blocks: pairs that are in different groups so far and not apart by their distances
@@ -503,7 +531,7 @@ def link(
         .distinct()
     )
     rest = tables.put(rest, "rest")
-    tables.drop("blocks", "deltas", "derived")
+    tables.drop("blocks", "deltas", "possible", "later", "derived")
     rest = tables.put(_not_apart(rest, hashes, percent), "near")
     tables.drop("rest")
     late = _compared(rest.select("a", "b"), hashes).join(rest, ["a", "b"]).where(F.col("different") <= bound)

@@ -297,3 +297,33 @@ def test_pairs_far_apart_move_no_sets(spark, monkeypatch):
     found = {r.doc_id: r.component_id for r in ngram_join.link(docs, words=5, percent=80).collect()}
     assert found == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0}
     assert seen == [1]
+
+
+def test_postings_carry_no_deltas_and_groups_need_few_answers(spark, monkeypatch):
+    """Pairs of a family are numbers and sizes, and those already in one group move no sets."""
+    rng = np.random.default_rng(7)
+    base = np.unique(rng.integers(1, 1 << 62, 80).astype(np.uint64))
+    sets = [np.sort(np.r_[base[:70], np.uint64(k)]) for k in range(1, 13)]
+    rows = [(k, bytearray(s.tobytes()), bytearray(ngram_join.sketch(s))) for k, s in enumerate(sets)]
+    hashes = spark.createDataFrame(rows, "row long, hashes binary, sketch binary")
+    hub = np.sort(rng.integers(1, 1 << 62, 200).astype(np.uint64))
+    deltas = [
+        (99, k, len(s), 99, False, len(s), np.r_[s, ~hub].view(np.int64).tolist()) for k, s in enumerate(sets)
+    ]
+    deltas = spark.createDataFrame(
+        deltas, "family long, row long, n long, hub long, near boolean, added long, delta array<long>"
+    )
+    pairs = ngram_join._derived(deltas, 80)
+    assert pairs.columns == ["a", "a_n", "b", "b_n"] and pairs.count() == 66
+    seen, compared = [], ngram_join._compared
+
+    def counted(pairs, hashes):
+        seen.append(pairs.count())
+        return compared(pairs, hashes)
+
+    monkeypatch.setattr(ngram_join, "_compared", counted)
+    monkeypatch.setattr(ngram_join, "ROUND_PAIRS", 1)
+    none = spark.createDataFrame([], "a long, b long")
+    links = ngram_join._linked(pairs, none, hashes, 80, ngram_join.Stored(spark))
+    assert {r.component for r in ngram_join.components(links).collect()} == {0}
+    assert seen == [11]
