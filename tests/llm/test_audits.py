@@ -360,3 +360,13 @@ def test_audit_over_small_slices(spark, small, monkeypatch):
 def test_shares_of_large_counts():
     for count, size in ((1, 3), (10**12, 3 * 10**13), (7, 10**14), (123_456_789_012, 98_765_432_109_876)):
         assert int(source_divergence.share(np.int64(count), np.int64(size))) == 10**9 * count // size
+
+
+def test_toxicity_keeps_every_byte_sequence(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_GRAMS", 5, raising=False)
+    rows = [(i, f"{'vile' if i % 2 else 'kind'} word{chr(97 + i)}", i % 2) for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    fitting = {r.doc_id for r in toxicity.labelled(frame).where("fitting").collect()}
+    words = sorted({w for i, text, _ in rows if i in fitting for w in toxicity.words_of(text)})
+    assert model.seen.tolist() == sorted(set(toxicity.grams(words)[0].tolist()))
